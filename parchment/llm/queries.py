@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, neardup, packing, quality, topk
+from . import bpe, chat, html, langid, licenses, neardup, packing, passages, quality, topk
 from .common import documents
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -48,6 +48,14 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.filter("id % 50 = 0"), rows, 5).withColumnRenamed("id", "vec_id")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("other", "other_doc_id")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     ids = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path)
@@ -64,7 +72,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(WORD_BPE)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_near_duplicates, op4_chats, op5_top_k, op8_bpe, op9_packing)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_near_duplicates, op4_chats, op5_top_k, op6_html, op7_passages, op8_bpe, op9_packing, op10_licenses)}
 
 ORACLE_SQL = {
     "op4_chats": r"""
