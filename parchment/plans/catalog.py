@@ -1,4 +1,6 @@
-"""All queries of the engine outside llm, and their SQL."""
+"""All queries of the reference's own operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import analytics, predicates, relational, retrieval, review, textual, windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
