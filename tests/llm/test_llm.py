@@ -166,6 +166,15 @@ def test_passages_finds_what_was_planted(spark):
     assert shared in left[0] and all(shared not in left[i] for i in range(1, 20)) and left[51] is None and left[50] == rows[20][1]
 
 
+def test_passages_on_both_sides_of_a_wide_gap(spark):
+    words = lambda seed, n: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 5000, n))
+    first, second = words(1001, 400), words(1002, 60)
+    rows = [(i, " ".join([words(i, 60), first, words(50 + i, 160), second, words(90 + i, 60)])) for i in range(3)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, round(r.start_word, -1)) for r in got if r.other == 0) == [(1, 60), (1, 620), (2, 60), (2, 620)]
+    assert passages._common([b"a", b"b", b"x", b"c"], [b"a", b"y", b"b", b"c"]) == 3
+
+
 def test_chat_branches_and_round_trip(spark):
     tree = spark.createDataFrame([(1, 1, None, 0.0), (1, 2, 1, 1.0), (1, 3, 1, 5.0), (1, 4, 3, 1.0)], "tree long, node long, parent long, score double")
     best = {(r.tree, r.leaf, r.node) for r in chat.branches(tree).collect()}
