@@ -172,6 +172,10 @@ def test_passages_on_both_sides_of_a_wide_gap(spark):
     rows = [(i, " ".join([words(i, 60), first, words(50 + i, 160), second, words(90 + i, 60)])) for i in range(3)]
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, round(r.start_word, -1)) for r in got if r.other == 0) == [(1, 60), (1, 620), (2, 60), (2, 620)]
+    first, second = words(1003, 300), words(1004, 300)
+    rows = [(0, f"{first} {second}"), (1, f"{first} {words(1005, 280)} {second}")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(round(r.start_word, -1) for r in got) == [0, 580]
     assert passages._common([b"a", b"b", b"x", b"c"], [b"a", b"y", b"b", b"c"]) == 3
 
 
