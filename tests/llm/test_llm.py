@@ -179,6 +179,33 @@ def test_passages_on_both_sides_of_a_wide_gap(spark):
     assert passages._common([b"a", b"b", b"x", b"c"], [b"a", b"y", b"b", b"c"]) == 3
 
 
+def _edited(rng, words, share):
+    """words with a share of them replaced, dropped or put in, a third each, at random places."""
+    kinds = rng.permutation(np.arange(len(words)) < round(share * len(words)))
+    out = []
+    for w, hit in zip(words, kinds, strict=True):
+        kind = rng.integers(3) if hit else 3
+        out += [[f"x{rng.integers(10**6)}"], [], [f"x{rng.integers(10**6)}", w], [w]][kind]
+    return out
+
+
+def test_passages_recall_of_short_and_edited_ones(spark):
+    rng = np.random.default_rng(5)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 20000, n)]
+    rows, kinds = [], {}
+    for share in (0.0, 0.05, 0.1, 0.15):
+        for n in (55, 65, 80, 100):
+            for _ in range(25):
+                i, passage = len(rows), new(n)
+                rows += [(i, " ".join(new(60) + passage + new(60))), (i + 1, " ".join(new(90) + _edited(rng, passage, share) + new(90)))]
+                kinds[i + 1] = share
+    found = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.other == r.doc_id - 1}
+    assert found <= set(kinds)
+    recall = {s: sum(i in found for i, k in kinds.items() if k == s) / 100 for s in set(kinds.values())}
+    print(recall)
+    assert recall[0.0] == 1 and recall[0.05] >= 0.97 and recall[0.1] >= 0.93 and recall[0.15] >= 0.8
+
+
 def test_chat_branches_and_round_trip(spark):
     tree = spark.createDataFrame([(1, 1, None, 0.0), (1, 2, 1, 1.0), (1, 3, 1, 5.0), (1, 4, 3, 1.0)], "tree long, node long, parent long, score double")
     best = {(r.tree, r.leaf, r.node) for r in chat.branches(tree).collect()}
