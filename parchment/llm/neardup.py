@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
     Equal sets meet by their digest, and one document stands for them. Of the others, those that share a key of both
     collections meet in tables (see KEYS). In each bucket its smallest document is compared with the rest. Buckets that
-    still hold several components go on: LEADERS members outside the largest component are compared with the members of
+    still hold several components go on: LEADERS members outside the component that was the largest at first are compared with the members of
     other components that they share no earlier table with, then GROWTH times as many, until no member is left. So every
     pair of different components that shares a table is met, in the first such table; groups of copies cost a row a copy,
     and no task sees a group as a whole. All comparisons are of full sets; sizes too different to be similar are left out exactly.
@@ -167,13 +167,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     stars = stars.join(light.alias("a"), F.col("x") == F.col("a.id")).join(light.alias("b"), F.col("y") == F.col("b.id"))
     links = stash(_verified(_pairs(stars.filter(_plausible(percent))), sets, percent))
     groups = stash(components(links))
-    low, high = 0, LEADERS
+    low, high, fixed = 0, LEADERS, None
     while True:
         labels = groups.select(F.col("node").alias("id"), "component")
         now = stash(met.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        # All pairs of different components are met if every member outside one component, the bucket's largest, leads once.
-        parts = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("all"))
-        open_keys = stash(parts.select("key", F.col("main.component").alias("main"), (F.col("all") - F.col("main.c")).alias("others")).filter(F.col("others") > low))
+        # All pairs of different components are met if every member outside one component leads once. The component (that of the
+        # anchor, the first round's largest) and the members' turns stay the same through all rounds, however components merge.
+        if fixed is None:
+            parts = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("all"))
+            fixed = stash(parts.select("key", F.col("main.component").alias("anchor"), (F.col("all") - F.col("main.c")).alias("others")).filter("others > 0"))
+        several = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+        anchors = labels.select(F.col("id").alias("anchor"), F.col("component").alias("main"))
+        open_keys = stash(fixed.filter(F.col("others") > low).join(several, "key").join(anchors, "anchor", "left").select("key", F.coalesce("main", "anchor").alias("main"), "others"))
         if open_keys.isEmpty():
             unstash(open_keys, now)
             break
@@ -187,7 +192,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
             groups = stash(components(links))
         unstash(now, open_keys, rest, more)
         low, high = high, GROWTH * high
-    unstash(reps, buckets, met, sets, links)
+    unstash(reps, buckets, met, sets, links, fixed)
 
     out = sig.join(copies, "digest", "left").withColumn("rep", F.when(F.col("digest").isNotNull() & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
     out = out.select("id", "n", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

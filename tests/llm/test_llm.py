@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -60,6 +61,21 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
 
 
+def test_near_duplicates_in_a_bucket_of_several_clusters(spark, monkeypatch):
+    signatures = neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda *a: signatures(*a).withColumn("keys", F.when(F.col("keys").isNotNull(), F.array_repeat(F.lit(1).cast("long"), 2 * neardup.KEYS))))
+    rng = np.random.default_rng(3)
+    new = lambda: [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+    rows, first = [(0, " ".join(new()))], {0: 0}
+    for n in [100] + [2] * 12:  # the first member is unlike all others, and clusters join while the bucket is compared
+        base, least = new(), len(rows)
+        for k in range(n):
+            first[len(rows)] = least
+            rows.append((len(rows), " ".join([*base[:-1], f"x{k}"])))
+    got = {r.doc_id: r.component for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == first
+
+
 def test_near_duplicates_edge_cases(edge):
     got = collections.Counter((r.doc_id, r.n_shingles, r.component, r.kept) for r in neardup.near_duplicates(edge).collect())
     assert got[(1, 0, 1, True)] == got[(2, 0, 2, True)] == got[(3, 0, 3, True)] == 1
