@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,18 @@ def unstash(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches, column: str, size: int = 4 << 20):
+    """Batches cut into parts of about `size` bytes of a column of texts, binaries or lists; a longer value is a part by itself."""
+    for batch in batches:
+        offsets = np.frombuffer(batch[column].buffers()[1], np.int64 if pa.types.is_large_string(batch[column].type) else np.int32)[batch[column].offset :][: batch.num_rows + 1] if batch.num_rows else np.zeros(1)
+        width = 4 if pa.types.is_list(batch[column].type) else 1
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size // width, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of a text with A-Z lowered, as UTF-8."""
     return text.encode("utf-8", "replace").translate(_LOWER_ASCII).split() if text else []

@@ -58,9 +58,7 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
-    ids = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path)
-    out = bpe.decode(ids, path, into="decoded")
-    return out.select(
+    return bpe.recode(documents(spark, sf_dir, "doc_id", "text"), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
