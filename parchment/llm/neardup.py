@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, shingle_hashes, stash, unstash, word_hashes
+from .common import ascii_words, shingle_hashes, slices, stash, unstash, word_hashes
 from .graph import components
 
 #: Two collections of KEYS keys of ROWS minhashes each. A table is a pair of keys, one of each collection: KEYS ** 2 tables
@@ -18,6 +18,8 @@ from .graph import components
 KEYS, ROWS = 12, 3
 #: Members of a bucket that are compared with others of it in the first round after the leader's; GROWTH times so many in each later one.
 LEADERS, GROWTH = 16, 16
+#: Members of a bucket in one block, about; its leaders go to each.
+BLOCK = 4096
 #: Documents that share a bucket with others get a sketch of SKETCH more minhashes, a bit of each. Sets are fetched only for
 #: pairs whose sketches differ in at most DIFFER bits. At similarity 0.8 a tenth of the bits differ, 102 with a deviation of
 #: 10, and more than DIFFER with a probability of 0.00001; at 0.65 one pair in 500 passes.
@@ -63,17 +65,21 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(((least * _MIXER) >> np.uint64(63)).astype(np.uint8)).view(np.int64)
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """id, n (size of the set), its digest and keys for rows (id, text); the last two are null for an empty set."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             n, digests, keys = [], [], []
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, k)
                 n.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digests.append(_digest(s))
                 keys.append(sub_keys(minhashes(s)) if len(s) else None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, longs)], names=["id", "n", "digest", "keys"])
@@ -82,28 +88,28 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """id, n, the set of rows (id, text), array<long>, and its sketch s0, s1, ..."""
+    """id, digest, n, the set of rows (id, text), array<long>, and its sketch s0, s1, ..."""
     kind = docs.schema["id"].dataType.simpleString()
     names = [f"s{i}" for i in range(LONGS)]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             sets = [shingle_set(t, k) for t in batch["text"].to_pylist()]
             sketches = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), LONGS)
-            columns = [batch["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *(pa.array(c) for c in sketches.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "set", *names])
+            columns = [batch["id"], pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *(pa.array(c) for c in sketches.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "set", *names])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, set array<long>, {', '.join(f'{x} long' for x in names)}")
+    return docs.mapInArrow(run, f"id {kind}, digest binary, n long, set array<long>, {', '.join(f'{x} long' for x in names)}")
 
 
 def _tables(reps: DataFrame) -> DataFrame:
-    """(key, at, id): the places of documents in tables (at); only those where both halves of the key are shared with some document."""
+    """(key, half, id): the tables that documents are in, with the number of the key's first half; only those where both halves are shared with some document."""
     rows = stash(reps.select("id", F.posexplode("keys").alias("at", "key")))
     shared = stash(rows.groupBy("at", "key").agg(F.count("*").alias("c")).filter("c > 1").select("at", "key"))
     own = rows.join(shared, ["at", "key"]).groupBy("id").agg(F.collect_set(F.struct("at", "key")).alias("k"))
     first, second = F.filter("k", lambda x: x["at"] < KEYS), F.filter("k", lambda x: x["at"] >= KEYS)
-    pairs = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.struct(F.xxhash64(a["at"], a["key"], b["at"], b["key"]).alias("key"), (a["at"] * KEYS + b["at"] - KEYS).cast("short").alias("at")))))
-    out = stash(own.select("id", F.explode(pairs).alias("e")).select("e.key", "e.at", "id"))
+    pairs = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.struct(F.xxhash64(a["at"], a["key"], b["at"], b["key"]).alias("key"), a["at"].cast("byte").alias("half")))))
+    out = stash(own.select("id", F.explode(pairs).alias("e")).select("e.key", "e.half", "id"))
     unstash(rows, shared)
     return out
 
@@ -117,10 +123,10 @@ def _plausible(percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= DIFFER)
 
 
-def _first_table() -> Column:
-    """Whether a and b share no earlier table: the one of the first key that they share in each collection. A pair is met there alone."""
-    first = [F.array_position(F.zip_with(F.slice("a.keys", at, KEYS), F.slice("b.keys", at, KEYS), lambda x, y: x == y), True) for at in (1, KEYS + 1)]
-    return F.col("a.at") == (first[0] - 1) * KEYS + first[1] - 1
+def _first_meeting() -> Column:
+    """Whether a and b share a key of the second collection and none of the first before this one: a pair is met there alone."""
+    alike = lambda at: F.zip_with(F.slice("a.keys", at, KEYS), F.slice("b.keys", at, KEYS), lambda x, y: x == y)
+    return (F.array_position(alike(1), True) == F.col("a.half") + 1) & F.exists(alike(KEYS + 1), lambda x: x)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -141,50 +147,66 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     """id, n_shingles, component and kept for each row of docs: groups of documents linked by similar shingle sets.
 
     Equal sets meet by their digest, and one document stands for them. Of the others, those that share a key of both
-    collections meet in tables (see KEYS). In each bucket its smallest document is compared with the rest. Buckets that
-    still hold several components go on: LEADERS members outside the component that was the largest at first are compared with the members of
-    other components that they share no earlier table with, then GROWTH times as many, until no member is left. So every
-    pair of different components that shares a table is met, in the first such table; groups of copies cost a row a copy,
-    and no task sees a group as a whole. All comparisons are of full sets; sizes too different to be similar are left out exactly.
+    collections meet in tables (see KEYS). In each table's bucket the smallest document is compared with the rest. Members
+    of buckets that still hold several components go on, by the first halves of their keys, each half with all its members
+    in one bucket: LEADERS members outside the component that was the largest at first are compared with the members of
+    other components that they share a table with, and no first half before, then GROWTH times as many, until no member is
+    left. So every pair of different components that shares a table is met once; groups of copies cost a row a copy, and
+    large buckets are dealt out in blocks. All comparisons are of full sets; sizes too different to be similar are left out exactly.
 
     Null, empty and blank texts have no shingles, no links, and are kept. Rows with a null id are kept, with a null
-    component. Rows that repeat an id count as one document. Other columns are not read.
+    component. Rows that repeat an id count as one document: of different texts, the one with the least digest is compared,
+    and all rows of the id get its component. Texts of any length are taken whole. An empty table gives an empty one. Other
+    columns are not read.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     sig = stash(signatures(rows, shingle))
-    known = sig.filter("id is not null and digest is not null")
+    known = sig.filter("id is not null and digest is not null").select("id", "digest", "keys")
+    several = stash(known.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least < most").select("id", "least"))
+    known = known.join(several, "id", "left").filter("least is null or digest = least").drop("least")
     copies = stash(known.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").select("digest", "rep"))
     places = known.join(copies, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
     reps = stash(places.filter("id = rep").select("id", "keys").dropDuplicates(["id"]))
     tables = _tables(reps)
     buckets = stash(tables.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last"))
     met = stash(tables.join(buckets, "key"))
-    unstash(tables)
-    sets = stash(shingle_sets(rows.join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), shingle))
+    needed = stash(met.select("id").distinct())
+    sets = shingle_sets(rows.join(needed, "id", "left_semi"), shingle).join(several, "id", "left").filter("least is null or digest = least")
+    sets = stash(sets.drop("least", "digest").dropDuplicates(["id"]))
+    unstash(tables, buckets, needed)
 
     light = sets.drop("set")
     stars = met.filter("id <> leader").select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct()
     stars = stars.join(light.alias("a"), F.col("x") == F.col("a.id")).join(light.alias("b"), F.col("y") == F.col("b.id"))
     links = stash(_verified(_pairs(stars.filter(_plausible(percent))), sets, percent))
     groups = stash(components(links))
-    low, high, fixed = 0, LEADERS, None
+
+    def labelled(frame: DataFrame) -> DataFrame:
+        return frame.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    opened = labelled(met.select("key", "id")).groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+    halves = met.join(opened, "key").select("id", "half").distinct()
+    members = stash(halves.join(reps, "id").join(light, "id").withColumn("key", F.xxhash64("half", F.col("keys")[F.col("half")])))
+    # All pairs of different components are met if every member outside one component leads once. That component (the anchor's, the
+    # largest at first) and the members' turns stay the same through all rounds, however components merge.
+    parts = labelled(members.select("key", "id")).groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("all"))
+    fixed = stash(parts.select("key", F.col("main.component").alias("anchor"), (F.col("all") - F.col("main.c")).alias("others"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")).filter("others > 0"))
+    unstash(met)
+    low, high = 0, LEADERS
     while True:
-        labels = groups.select(F.col("node").alias("id"), "component")
-        now = stash(met.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        # All pairs of different components are met if every member outside one component leads once. The component (that of the
-        # anchor, the first round's largest) and the members' turns stay the same through all rounds, however components merge.
-        if fixed is None:
-            parts = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("all"))
-            fixed = stash(parts.select("key", F.col("main.component").alias("anchor"), (F.col("all") - F.col("main.c")).alias("others")).filter("others > 0"))
-        several = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
-        anchors = labels.select(F.col("id").alias("anchor"), F.col("component").alias("main"))
-        open_keys = stash(fixed.filter(F.col("others") > low).join(several, "key").join(anchors, "anchor", "left").select("key", F.coalesce("main", "anchor").alias("main"), "others"))
+        now = stash(labelled(members.select("key", "id")))
+        mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+        anchors = groups.select(F.col("node").alias("anchor"), F.col("component").alias("main"))
+        open_keys = stash(fixed.filter(F.col("others") > low).join(mixed, "key").join(anchors, "anchor", "left").select("key", F.coalesce("main", "anchor").alias("main"), "others", "blocks"))
         if open_keys.isEmpty():
             unstash(open_keys, now)
             break
-        rest = stash(now.join(open_keys, "key").join(light, "id").join(reps, "id").withColumn("turn", F.pmod(F.xxhash64("key", "id"), F.col("others"))))
+        rest = now.join(open_keys, "key").withColumn("turn", F.pmod(F.xxhash64("key", "id"), F.col("others"))).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+        rest = stash(rest.join(members, ["key", "id"]))
         leaders = rest.filter((F.col("component") != F.col("main")) & (F.col("turn") >= low) & (F.col("turn") < high))
-        meet = leaders.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & _plausible(percent) & _first_table())
+        leaders = leaders.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "block")]
+        meet = leaders.alias("a").join(rest.alias("b"), same[0] & same[1] & (F.col("a.component") != F.col("b.component")) & _plausible(percent) & _first_meeting())
         more = stash(_verified(_pairs(meet), sets, percent))
         if not more.isEmpty():
             links, old = stash(links.union(more)), links
@@ -192,8 +214,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
             groups = stash(components(links))
         unstash(now, open_keys, rest, more)
         low, high = high, GROWTH * high
-    unstash(reps, buckets, met, sets, links, fixed)
+    unstash(reps, members, sets, links, fixed)
 
-    out = sig.join(copies, "digest", "left").withColumn("rep", F.when(F.col("digest").isNotNull() & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
-    out = out.select("id", "n", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    out = sig.filter("digest is not null and id is not null").join(several, "id", "left").withColumn("digest", F.coalesce("least", "digest")).join(copies, "digest", "left")
+    out = out.select("id", "n", F.coalesce("rep", "id").alias("rep")).unionByName(sig.filter("digest is null or id is null").select("id", "n", F.col("id").alias("rep")))
+    out = out.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component", F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
