@@ -29,15 +29,29 @@ def stash(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
+    _live.add(path)
     return out
 
 
 def unstash(*frames: DataFrame) -> None:
     """Delete stashed tables that no later step reads."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._stash_path)
+
+
+def sweep(keep: DataFrame) -> None:
+    """Delete all stashed tables but one, which is written and holds all that is still needed."""
+    for path in [*_live - {keep._stash_path}]:
+        _delete(keep.sparkSession, path)
+
+
+_live: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _live.discard(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def slices(batches, column: str, size: int = 4 << 20):

@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_letters
-from .common import stash
+from .common import slices, stash
 
 SEQUENCE = 4096
 #: Pieces that one task packs together. A block wastes less than one sequence beyond what its lengths force.
 BLOCK = 40_000
 #: A worker remembers the ids of the last words it met: twice so many at most, of so many bytes at most.
 CACHE, CACHED_BYTES = 400_000, 64
-#: Branches that the search for the last bins of a block may try.
-BRANCHES = 20_000
+#: Pieces looked at (for fillings, and for what is left after each) after which the search in a block ends with its incumbent.
+STEPS = 3_000_000
+#: The first dive tries fillings of three pieces that waste less than this. It is an incumbent, and no filling is barred from the search.
+THIRDS = 4
 _END = 1
 
 
@@ -85,7 +87,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, text: str = "text",
 
     def run(batches):
         words = load(path)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, t in enumerate(batch["text"].to_pylist()):
                 raw = words.encode(t) + end
@@ -104,131 +106,237 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, text: str = "text",
     return out.withColumnRenamed("id", id)
 
 
-def completion(free: int, counts: np.ndarray) -> list[int]:
-    """Lengths that fill `free` best, out of those with a count: an exact fill by as few and as large pieces as can be, else least waste.
+def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Bins by best-fit decreasing: each piece, longest first, goes to the fullest bin that it fits in."""
+    bins: list[list[int]] = []
+    room: dict[int, list[int]] = {}
+    rooms = 0  # a bit for each free space that some bin has
+    for x in np.sort(lengths)[::-1].tolist():
+        if fit := rooms >> x << x:
+            free = (fit & -fit).bit_length() - 1
+            at = room[free].pop()
+            if not room[free]:
+                rooms ^= 1 << free
+        else:
+            free, at = size, len(bins)
+            bins.append([])
+        bins[at].append(x)
+        room.setdefault(free - x, []).append(at)
+        rooms |= 1 << (free - x)
+    return bins
 
-    Fillings of up to three pieces are enumerated by waste, from none up; a filling that another with larger pieces
-    dominates is never tried. The incumbent is the best-fit one (again and again the largest piece that fits), and waste
-    at or above its own is pruned.
-    """
-    have = counts[: free + 1] > 0
-    have[0] = False
-    lengths = np.flatnonzero(have)
+
+def bound(lengths: np.ndarray, size: int) -> int:
+    """A number of bins that no packing is below: for each a, pieces over size - a are alone, others over size / 2 each open a bin, and pieces from a to size / 2 fill what these leave."""
     if not len(lengths):
-        return []
-    best, rest, left = [], free, counts
-    used: dict[int, int] = {}
-    while rest and len(fit := lengths[lengths <= rest]):
-        for x in fit[::-1]:
-            if left[x] > used.get(int(x), 0):
-                best.append(int(x)), used.__setitem__(int(x), used.get(int(x), 0) + 1)
-                rest -= int(x)
+        return 0
+    count = np.bincount(lengths, minlength=size + 1)
+    number, total = np.cumsum(count), np.cumsum(count * np.arange(size + 1))
+    half = size // 2
+    a = np.arange(half + 1)
+    over = number[-1] - number[half]
+    middle = number[size - a] - number[half]
+    left = middle * size - (total[size - a] - total[half])
+    small = total[half] - np.where(a > 0, total[np.maximum(a - 1, 0)], 0)
+    return int((over + np.maximum(0, -((left - small) // size))).max())
+
+
+class _Pieces:
+    """Pieces as counts, with a bit for each length that is left, forwards and backwards."""
+
+    def __init__(self, lengths, size: int):
+        self.size, self.count = size, np.bincount(lengths, minlength=size + 1).tolist()
+        self.have = sum(1 << x for x in range(1, size + 1) if self.count[x])
+        self.back = sum(1 << (size - x) for x in range(1, size + 1) if self.count[x])
+
+    def take(self, x: int, n: int = 1) -> None:
+        self.count[x] -= n
+        if not self.count[x]:
+            self.have ^= 1 << x
+            self.back ^= 1 << (self.size - x)
+
+    def longest(self, most: int) -> int:
+        return (self.have & ((2 << most) - 1)).bit_length() - 1 if most > 0 else -1
+
+    def two(self, total: int, other: int = 0) -> list[int]:
+        """The two pieces of this sum of which one is longest, beside a piece `other`."""
+        both = self.have & self.back >> (self.size - total)
+        while both > 1:
+            x = both.bit_length() - 1
+            y = total - x
+            if x >= y and all(self.count[z] >= (x, y, other).count(z) for z in (x, y)):
+                return [x, y]
+            both ^= 1 << x
+            if x < y:
                 break
-        else:
-            break
-    if rest == 0:
-        return best
-
-    def two(total: int, without: int = 0) -> list[int]:
-        if total < 2:
-            return []
-        ok = have[: total + 1] & have[total::-1]
-        if total % 2 == 0 and counts[total // 2] < 2:
-            ok[total // 2] = False
-        for x in np.flatnonzero(ok)[::-1][:4]:
-            need = [int(x), int(total - x)]
-            if all(counts[y] >= (need + [without]).count(y) for y in need):
-                return need
         return []
 
-    for waste in range(rest):
-        total = free - waste
-        if have[total]:
-            return [total]
-        if found := two(total):
-            return found
-        for x in lengths[::-1][: max(4, 64 >> waste)]:
-            if x < total and (found := two(total - int(x), int(x))):
-                return [int(x), *found]
-    return best
-
-
-def _search(lengths: list[int], size: int, bound: int) -> list[list[int]] | None:
-    """Bins for a few pieces, fewer than `bound`, by depth-first bin completion; None if the branches tried hold none."""
-    tries = [BRANCHES]
+    def completion(self, free: int) -> list[int]:
+        """A filling of `free` with the least waste: the best-fit one (again and again the longest piece that fits), unless one
+        of one or two pieces wastes less, or one of three, of which those that waste less than THIRDS are tried."""
+        best, rest = [], free
+        while (x := self.longest(rest)) > 0:
+            n = min(rest // x, self.count[x] - best.count(x))
+            if n <= 0:
+                y = x
+                while (y := self.longest(y - 1)) > 0 and self.count[y] <= best.count(y):
+                    pass
+                if y <= 0:
+                    break
+                x, n = y, min(rest // y, self.count[y] - best.count(y))
+            best += [x] * n
+            rest -= n * x
+        if rest and (x := self.longest(free)) > free - rest:
+            best, rest = [x], free - x
+        if rest:
+            x = free
+            while (x := self.longest(x - 1)) * 2 >= free - rest and rest:
+                y = self.longest(min(x, free - x))
+                if y == x and self.count[x] < 2:
+                    y = self.longest(y - 1)
+                if y > 0 and free - x - y < rest:
+                    best, rest = [x, y], free - x - y
+        for waste in range(min(rest, THIRDS)):
+            total = free - waste
+            x = total
+            while (x := self.longest(x - 1)) * 3 >= total:
+                if found := self.two(total - x, x):
+                    return [x, *found]
+        return best
 
-    def fillings(free: int, rest: list[int], at: int) -> list[tuple[list[int], int]]:
-        out, seen = [], set()
-        for i in range(at, len(rest)):
-            if rest[i] <= free and rest[i] not in seen and len(out) < 32:
-                seen.add(rest[i])
-                out += [([rest[i], *more], left) for more, left in fillings(free - rest[i], rest, i + 1)]
-        smallest = rest[-1] if len(rest) > at else size
-        return out or ([([], free)] if free < smallest or at >= len(rest) or all(x > free for x in rest[at:]) else [])
 
-    def down(rest: list[int], used: int) -> list[list[int]] | None:
+def _lowered(bits: int, most: int) -> int:
+    """bits, and each of them moved down by 1 to `most` places."""
+    done = 0
+    while done < most:
+        step = min(done + 1, most - done)
+        bits |= bits >> step
+        done += step
+    return bits
+
+
+def fillings(free: int, pieces: list[int], tick) -> list[list[int]]:
+    """The undominated sets of pieces (falling) that fit in `free`, least waste first. A set is dominated if a piece outside it can take
+    the place of some of its pieces (of more than one, if it is no longer than they are): what it frees packs no worse than it."""
+    count: dict[int, int] = {}
+    for x in pieces:
+        count[x] = count.get(x, 0) + 1
+    lengths = sorted(count, reverse=True)
+    out: list[tuple[int, list[int]]] = []
+
+    every = sum(1 << x for x in lengths)
+
+    def dominated(fill: list[int], waste: int) -> bool:
+        spare, one, more = every, 0, 0  # sums of one piece of the filling, and of more, as bits
+        for x in fill:
+            more |= (more | one) << x
+            one |= 1 << x
+            if fill.count(x) == count[x]:
+                spare &= ~(1 << x)
+        tick(len(fill))
+        return bool(_lowered(spare, waste) & more or waste and _lowered(spare >> 1, waste - 1) & one)
+
+    def down(at: int, rest: int, fill: list[int]) -> None:
+        tick(1 + len(lengths) - at)
+        fits = False
+        for k in range(at, len(lengths)):
+            x = lengths[k]
+            if x > rest:
+                continue
+            if fill.count(x) < count[x]:
+                fits = True
+                down(k, rest - x, [*fill, x])
+        if not fits and not dominated(fill, rest):
+            out.append((rest, fill))
+
+    down(0, free, [])
+    return [fill for _, fill in sorted(out, key=lambda f: (f[0], [-x for x in f[1]]))]
+
+
+class _Ended(Exception):
+    pass
+
+
+def search(lengths: list[int], size: int, below: int, tick) -> list[list[int]] | None:
+    """Fewer than `below` bins for the pieces, by depth-first bin completion; None if there are none. tick is told the pieces looked at."""
+    failed: set[tuple[int, ...]] = set()
+
+    def down(rest: list[int], left: int) -> list[list[int]] | None:
         if not rest:
             return []
-        tries[0] -= 1
-        if tries[0] < 0 or used + -(-sum(rest) // size) >= bound:
+        if (*rest, left) in failed or bound(np.array(rest), size) > left:
             return None
-        first, others = rest[0], rest[1:]
-        for fill, _ in sorted(fillings(size - first, others, 0), key=lambda f: f[1])[:8]:
-            left = others.copy()
+        for fill in fillings(size - rest[0], rest[1:], tick):
+            tick(len(rest))
+            others = rest[1:]
             for x in fill:
-                left.remove(x)
-            if (found := down(left, used + 1)) is not None:
-                return [[first, *fill], *found]
+                others.remove(x)
+            if (found := down(others, left - 1)) is not None:
+                return [[rest[0], *fill], *found]
+        failed.add((*rest, left))
         return None
 
-    return down(sorted(lengths, reverse=True), 0)
+    return down(sorted(lengths, reverse=True), below - 1)
 
 
-def pack_lengths(lengths: np.ndarray, size: int = SEQUENCE) -> list[tuple[list[int], int]]:
-    """Bins as (lengths in the bin, how many such bins), as few as the search finds.
+def pack_lengths(lengths: np.ndarray, size: int = SEQUENCE, steps: int = STEPS) -> list[list[int]]:
+    """Bins, as few as the search finds; never more than best-fit decreasing makes.
 
-    The largest length left opens a bin, `completion` fills it; the same bin is made as often as the counts allow. If the
-    bins are more than the total length forces, the last ones, where the waste is, are packed again by `_search`.
+    Incumbents are best-fit decreasing and the first dive of bin completion: the longest piece left opens a bin, the filling
+    that wastes least ends it. While they are above the bound, the dive is taken back, last bins first: those of the last
+    4, 8, 16, ... bins are searched for a packing in fewer, branch by branch, with the bound for what is left. The search
+    ends when the bound is met, when all bins were taken back (the packing is then the best), or after `steps`.
     """
-    counts = np.bincount(lengths, minlength=size + 1)
-    bins: list[tuple[list[int], int]] = []
-    top = size
-    while True:
-        while top and not counts[top]:
-            top -= 1
-        if not top:
-            break
-        counts[top] -= 1
-        fill = [top, *completion(size - top, counts)]
-        counts[top] += 1
-        need = np.unique(fill, return_counts=True)
-        times = int(min(counts[need[0]] // need[1]))
-        counts[need[0]] -= times * need[1]
-        bins.append((fill, times))
-    total, least = sum(n for _, n in bins), -(-int(lengths.sum()) // size)
-    if total > least:
-        flat = sorted(((b, size - sum(b)) for b, n in bins[-24:] for _ in range(min(n, 24))), key=lambda x: -x[1])[:12]
-        again = [x for b, _ in flat for x in b]
-        if len(again) <= 64 and (better := _search(again, size, len(flat))):
-            gone: dict[tuple, int] = {}
-            for b, _ in flat:
-                gone[tuple(b)] = gone.get(tuple(b), 0) + 1
-            bins = [(b, n - gone.pop(tuple(b), 0)) for b, n in bins] + [(b, 1) for b in better]
-    return [(b, n) for b, n in bins if n]
+    best, least = best_fit(lengths, size), bound(lengths, size)
+    if len(best) <= least:
+        return best
+    left, dive = _Pieces(lengths, size), []
+    while (top := left.longest(size)) > 0:
+        left.take(top)
+        fill = [top, *left.completion(size - top)]
+        left.count[top] += 1  # how often the bin can be made
+        need = {x: fill.count(x) for x in fill}
+        times = min(left.count[x] // n for x, n in need.items())
+        left.count[top] -= 1
+        for x, n in need.items():
+            if n * times - (x == top):
+                left.take(x, n * times - (x == top))
+        dive += [fill] * times
+    best = min(best, dive, key=len)
+    tried = 0
+
+    def tick(n: int) -> None:
+        nonlocal tried
+        tried += n
+        if tried > steps:
+            raise _Ended
+
+    last = 4
+    try:
+        while len(best) > least:
+            again = [x for b in best[-last:] for x in b]
+            if bound(np.array(again), size) < min(last, len(best)) and (found := search(again, size, min(last, len(best)), tick)):
+                best = best[: -last] + found
+            elif last >= len(best):
+                break
+            else:
+                last *= 2
+    except (_Ended, RecursionError):
+        pass
+    return best
 
 
 def place(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
     """The bin of each piece, and its place there."""
     where = {int(x): list(np.flatnonzero(lengths == x)[::-1]) for x in np.unique(lengths)}
     bins, offsets, number = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
-    for fill, times in pack_lengths(lengths, size):
-        for _ in range(times):
-            at = 0
-            for x in fill:
-                i = where[x].pop()
-                bins[i], offsets[i] = number, at
-                at += x
-            number += 1
+    for fill in pack_lengths(lengths, size):
+        at = 0
+        for x in fill:
+            i = where[x].pop()
+            bins[i], offsets[i] = number, at
+            at += x
+        number += 1
     return bins, offsets
 
 
@@ -237,20 +345,22 @@ def pack(rows: DataFrame, length: str = "length", size: int = SEQUENCE, block: i
 
     Rows are dealt into blocks of about `block` by a number each row gets, not by a key, so that no value makes a block
     large; each block is packed by itself. Rows are first written to the shared folder: a task that is run again packs
-    the same rows. Equal lengths are taken in row order. An empty table gives an empty one.
+    the same rows. Equal lengths, and equal rows, are taken in row order. Nulls in other columns and any names are kept;
+    a null length, or one that is not from 1 to `size`, is an error. An empty table gives an empty one.
     """
-    rows = stash(rows.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()))
-    blocks = max(1, -(-rows.count() // block))
-    names = [c for c in rows.columns if c != "_row"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    rows = rows.drop("sequence_id", "offset")
+    whole = stash(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(length).cast("long").alias("length"), F.monotonically_increasing_id().alias("n")))
+    blocks = max(1, -(-whole.count() // block))
+    kind = rows.schema.simpleString()
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("_row")
-        bins, offsets = place(table[length].to_numpy(), size)
-        table = table.select(names).append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins))
-        return table.append_column("offset", pa.array(offsets))
-
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
-    return dealt.groupBy("_block").applyInArrow(run, f"{fields}, sequence_id long, offset long")
-
-
+        table = table.sort_by("n")
+        lengths = table["length"].to_numpy()
+        if table["length"].null_count or lengths.min() < 1 or lengths.max() > size:
+            raise ValueError(f"lengths must be 1 to {size}")
+        bins, offsets = place(lengths.astype(np.int64), size)
+        return table.select(["row"]).append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
+
+    dealt = whole.withColumn("block", F.pmod(F.xxhash64("n"), F.lit(blocks)))
+    packed = dealt.groupBy("block").applyInArrow(run, f"row {kind}, sequence_id long, offset long")
+    return packed.select("row.*", "sequence_id", "offset")
