@@ -39,9 +39,14 @@ def unstash(*frames: DataFrame) -> None:
         _delete(df.sparkSession, df._stash_path)
 
 
-def sweep(keep: DataFrame) -> None:
-    """Delete all stashed tables but one, which is written and holds all that is still needed."""
-    for path in [*_live - {keep._stash_path}]:
+def stashed() -> frozenset[str]:
+    """The stashed tables that there are now."""
+    return frozenset(_live)
+
+
+def sweep(keep: DataFrame, older: frozenset[str]) -> None:
+    """Delete the tables stashed since `older` was taken, but one, which is written and holds all that is still needed."""
+    for path in _live - older - {keep._stash_path}:
         _delete(keep.sparkSession, path)
 
 
