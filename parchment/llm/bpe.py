@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import Recent, in_arrow, slices
 
 #: Fixed value: the split pattern of byte-level pre-tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -31,26 +31,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Recent:
-    """A memory of the newest entries, of `room` bytes at most (about), and of those before, of as many. `new` is read directly, for speed."""
-
-    def __init__(self, room: int = MEMORY):
-        self.room, self.held = room, 0
-        self.new: dict = {}
-        self.old: dict = {}
-
-    def get(self, key):
-        if (found := self.new.get(key)) is None and (found := self.old.get(key)) is not None:
-            self.put(key, found, 0)
-        return found
-
-    def put(self, key, value, size: int) -> None:
-        if self.held >= self.room:
-            self.old, self.new, self.held = self.new, {}, 0
-        self.new[key] = value
-        self.held += size + 220
-
-
 class SuffixAutomaton:
     """The suffix automaton of a set of byte strings: a state for each class of their substrings that end at the same places.
 
@@ -138,7 +118,7 @@ class Bpe:
         self.automaton.close()
         self._split = regex.compile(PATTERN)
         self._cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._words, self._parts = Recent(), Recent()
+        self._words, self._parts = Recent(MEMORY), Recent(MEMORY)
 
     def _spine(self, token: int, side: int) -> list[int]:
         """The tokens that hold the last (side 1) or first (side 0) byte of a token, as its merges make them."""
@@ -319,7 +299,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
             column = _id_lists(*_arrays([bpe.encode(t) for t in batch[text].to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), column], names=[*kept, into])
 
-    return docs.select(*kept, text).mapInArrow(run, f"{fields}{', ' * bool(kept)}`{into}` array<int>")
+    return in_arrow(docs.select(*kept, text), run, f"{fields}{', ' * bool(kept)}`{into}` array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "text") -> DataFrame:
@@ -335,7 +315,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "text") ->
             texts = decoder.decode(column.flatten().to_numpy(zero_copy_only=False), ends)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(texts, pa.string())], names=[*kept, into])
 
-    return rows.select(*kept).mapInArrow(run, f"{fields}, `{into}` string")
+    return in_arrow(rows.select(*kept), run, f"{fields}, `{into}` string")
 
 
 def recode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -349,4 +329,4 @@ def recode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", int
             columns = [*(batch[c] for c in kept), _id_lists(found, ends), pa.array(decoder.decode(found, ends), pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, into])
 
-    return docs.select(*kept, text).mapInArrow(run, f"{fields}{', ' * bool(kept)}`{ids}` array<int>, `{into}` string")
+    return in_arrow(docs.select(*kept, text), run, f"{fields}{', ' * bool(kept)}`{ids}` array<int>, `{into}` string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -59,6 +61,41 @@ def _delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def in_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
+    """rows.mapInArrow(run, schema); a worker, which lives on for other tasks, gives the memory of a task back at its end."""
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return rows.mapInArrow(lean, schema)
+
+
+class Recent:
+    """A memory of the newest entries, of `room` bytes at most (about), and of those before, of as many. `new` is read directly, for speed."""
+
+    def __init__(self, room: int):
+        self.room, self.held = room, 0
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        if (found := self.new.get(key)) is None and (found := self.old.get(key)) is not None:
+            self.put(key, found, 0)
+        return found
+
+    def put(self, key, value, size: int) -> None:
+        if self.held >= self.room:
+            self.old, self.new, self.held = self.new, {}, 0
+        self.new[key] = value
+        self.held += size + 220
+
+
 def slices(batches, column: str, size: int = 4 << 20):
     """Batches cut into parts of about `size` bytes of a column of texts, binaries or lists; a longer value is a part by itself."""
     for batch in batches:

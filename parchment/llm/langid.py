@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_arrow, slices
 
 GRAMS = (1, 2, 3)
 #: Ranks in a profile, of a language or a document.
@@ -16,7 +17,7 @@ PROFILE = 300
 #: Bound of the sample that profiles are learned from: about so many documents of each language, all if there are fewer.
 SAMPLE_PER_LANG = 4000
 #: Profiles are broadcast: at most so many languages of PROFILE n-grams each.
-MAX_LANGS = 1000
+MAX_LANGS = 10_000
 UNKNOWN = "und"
 _BLOCK = 1 << 20
 
@@ -44,17 +45,37 @@ def _grams(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of a whole text, in order, and their counts. Long texts are counted in blocks."""
-    if len(text) <= _BLOCK:
-        return np.unique(_grams(text), return_counts=True)
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for at in range(0, len(text), _BLOCK):
-        more, n = np.unique(_grams(text[at : at + _BLOCK]), return_counts=True)
-        merged, where = np.unique(np.concatenate((keys, more)), return_inverse=True)
-        counts = np.bincount(where, np.concatenate((counts, n)), len(merged)).astype(np.int64)
-        keys = merged
-    return keys, counts
+def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def _blocks(text: str, size: int):
+    """Parts of a text of `size` characters or more (but for the last), cut before white space."""
+    at = 0
+    while at < len(text):
+        to = min(len(text), at + size)
+        while to < len(text) and not text[to].isspace():
+            to += 1
+        yield text[at:to]
+        at = to
+
+
+def gram_counts(text: str, block: int = _BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of a whole text, in order, and their counts. Long texts are counted in blocks, with the n-grams across their borders."""
+    counts, before = [(np.empty(0, np.int64),) * 2], -1
+    for part in _blocks(text, block):
+        grams = _grams(part)
+        if not len(grams):
+            continue
+        counts.append(np.unique(grams, return_counts=True))
+        letters = grams[grams < 1 << 21]  # the single letters come first, in order
+        if before >= 0:
+            counts.append((np.array([before << 42 | 32 << 21 | int(letters[0])]), np.array([1])))
+        before = int(letters[-1])
+        if len(counts) > 16:
+            counts = [_sum(counts)]
+    return _sum(counts) if len(counts) > 2 else counts[-1]
 
 
 def learn_profiles(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang", id: str = "doc_id", profile: int = PROFILE, sample_per_lang: int = SAMPLE_PER_LANG) -> dict[str, list[int]]:
@@ -74,16 +95,15 @@ def learn_profiles(docs: DataFrame, labelled: Column, text: str = "text", lang:
     known = known.filter(F.pmod(F.xxhash64(F.col(id)), F.lit(1 << 30)) < share * (1 << 30)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             sums: dict[str, list] = {}
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 sums.setdefault(lang, []).append(gram_counts(text))
             for lang, parts in sums.items():
-                keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+                keys, counts = _sum(parts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "gram", "n"])
 
-    sums = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = in_arrow(known, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = sums.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= profile).collect()  # at most MAX_LANGS * profile rows
     out: dict[str, list[int]] = {}
@@ -120,18 +140,19 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
     """docs with lang_pred and score added (they replace columns of these names).
 
     Only the text is read. A null text, or one without a letter, is `und` with score 0; of equal distances the first
-    language by name wins. Repeated rows get equal answers. score is 1 - distance / greatest possible distance.
+    language by name wins. Repeated rows get equal answers, texts of any length are counted whole, an empty table gives an
+    empty one, and without profiles all rows are `und`. score is 1 - distance / greatest possible distance.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     table = Profiles(profiles, profile)
 
     def label(batches):
-        for batch in batches:
+        for batch in slices(batches, text):
             answers = [table.predict(t) for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in answers], pa.string()), pa.array([s for _, s in answers], pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*kept).mapInArrow(label, f"{fields}, lang_pred string, score double")
+    return in_arrow(docs.select(*kept), label, f"{fields}, lang_pred string, score double")
 
 
 def held_out(id: str = "doc_id") -> Column:

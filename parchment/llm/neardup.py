@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, shingle_hashes, slices, stash, unstash, word_hashes
+from .common import ascii_words, in_arrow, shingle_hashes, slices, stash, unstash, word_hashes
 from .graph import components
 
 #: Two collections of KEYS keys of ROWS minhashes each. A table is a pair of keys, one of each collection: KEYS ** 2 tables
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, longs)], names=["id", "n", "digest", "keys"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, digest binary, keys array<long>")
+    return in_arrow(docs, run, f"id {kind}, n long, digest binary, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -99,7 +99,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             columns = [batch["id"], pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *(pa.array(c) for c in sketches.T)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "set", *names])
 
-    return docs.mapInArrow(run, f"id {kind}, digest binary, n long, set array<long>, {', '.join(f'{x} long' for x in names)}")
+    return in_arrow(docs, run, f"id {kind}, digest binary, n long, set array<long>, {', '.join(f'{x} long' for x in names)}")
 
 
 def _tables(reps: DataFrame) -> DataFrame:

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_letters
-from .common import slices, stash
+from .common import Recent, in_arrow, slices, stash
 
 SEQUENCE = 4096
 #: Pieces that one task packs together. A block wastes less than one sequence beyond what its lengths force.
 BLOCK = 40_000
-#: A worker remembers the ids of the last words it met: twice so many at most, of so many bytes at most.
-CACHE, CACHED_BYTES = 400_000, 64
+#: Bytes of a worker's memory of words; words of more bytes are not remembered.
+MEMORY, REMEMBERED_BYTES = 40 << 20, 64
 #: Pieces looked at (for fillings, and for what is left after each) after which the search in a block ends with its incumbent.
 STEPS = 3_000_000
 #: The first dive tries fillings of three pieces that waste less than this. It is an incumbent, and no filling is barred from the search.
@@ -42,8 +42,7 @@ class WordTokens:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.words = Recent(MEMORY)
 
     def word(self, word: bytes) -> bytes:
         text = word.decode()
@@ -58,16 +57,16 @@ class WordTokens:
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; a null text has none."""
         words = text.encode("utf-8", "replace").split() if text else []
-        out = list(map(self.new.get, words))
+        out = list(map(self.words.new.get, words))
         if None in out:
             found: dict[bytes, bytes] = {}
             for w, x in zip(words, out, strict=True):
                 if x is None and w not in found:
-                    found[w] = self.old.get(w) or self.word(w)
+                    found[w] = self.words.old.get(w) or self.word(w)
             out = [found[w] if x is None else x for w, x in zip(words, out, strict=True)]
-            if len(self.new) >= CACHE:
-                self.old, self.new = self.new, {}
-            self.new.update((w, x) for w, x in found.items() if len(w) <= CACHED_BYTES)
+            for w, x in found.items():
+                if len(w) <= REMEMBERED_BYTES:
+                    self.words.put(w, x, len(w) + len(x))
         return b"".join(out)
 
 
@@ -102,7 +101,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, text: str = "text",
                 columns, names = [*columns, pa.array(ids, pa.list_(pa.int64()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long{', ids array<long>' * with_ids}")
+    out = in_arrow(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), run, f"id {kind}, piece int, start long, length long, ids_crc32 long{', ids array<long>' * with_ids}")
     return out.withColumnRenamed("id", id)
 
 

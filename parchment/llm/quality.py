@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD, let
 
 SYMBOLS = "#*$%&|<>"
+#: Marks that may stand beside a stop word.
+MARKS = ".,;:!?\"'()[]"
 
 #: Frequent function words of the corpus languages.
 STOP_WORDS = {
@@ -89,7 +91,7 @@ def repeated_words(words: Column, window: int = 3) -> Column:
 
 
 def measures(text: Column) -> Column:
-    """A struct of all measures of a text. Counts of a null text are 0."""
+    """A struct of all measures of a text. Counts of a null text are 0. Stop words are those of any language, in any case, with or without MARKS beside them."""
     text = F.coalesce(text, F.lit(""))
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
 
@@ -104,13 +106,14 @@ def measures(text: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             repeated_words(words).alias("n_repeat_words"),
-            F.size(F.filter(words, lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
             let(F.array_join(words, ""), char_part).alias("c"),
         )
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    return F.struct(let(words, word_part).alias("w"), let(lines, line_part).alias("l"))
+    plain = F.split(F.translate(F.lower(text), MARKS, " " * len(MARKS)), SPACE + "+")
+    stops = F.size(F.filter(plain, lambda w: w.isin(stop))).cast("long")
+    return F.struct(let(words, word_part).alias("w"), let(lines, line_part).alias("l"), stops.alias("n_stop_words"))
 
 
 def compile_rules(rules: tuple[Rule, ...], metrics: dict[str, Column]) -> Column:
@@ -138,7 +141,7 @@ def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
         metrics = {
             "mean_word_chars": m["w"]["c"]["word_chars"] / at_least_1,
             "symbols_per_word": m["w"]["c"]["n_symbols"] / at_least_1,
-            "stop_word_share": m["w"]["n_stop_words"] / at_least_1,
+            "stop_word_share": m["n_stop_words"] / at_least_1,
             "dup_line_share": m["l"]["n_dup_lines"] / F.greatest(m["l"]["n_lines"], F.lit(1)),
         }
         failed = (n < 50) | (100 * m["w"]["n_repeat_words"] > 50 * n)
