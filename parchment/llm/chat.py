@@ -34,20 +34,24 @@ def branches(messages: DataFrame, per_tree: int | None = 1) -> DataFrame:
     Iterated self-joins: pointers to the parent are doubled until none reaches further, then each leaf's path is filled
     in from the farthest pointers down, every ancestor once. Rounds grow with the logarithm of the depth, rows with the
     lengths of the paths. A tree's branches rank by the mean score of their messages (null: 0), ties by smaller leaf;
-    the first per_tree are taken (all, if None). (tree, node) must be unique; a parent that is missing makes a root;
-    messages on a cycle reach no root and have no leaf, so they are in no path. tree may be null.
+    the first per_tree are taken (all, if None). Of rows that repeat (tree, node) the least by parent (null first) and score
+    counts; rows with a null node are left out. A parent that is missing makes a root; messages that never reach one, as
+    their parents form a cycle, are in no path. tree may be null. An empty table gives an empty one.
     """
     same = lambda a, b, k: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.{k}") == F.col(f"{b}.node"))
-    base = stash(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
+    least = F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("m")
+    base = stash(messages.filter("node is not null").groupBy("tree", "node").agg(least).select("tree", "node", "m.*"))
+    most = base.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     up = base.filter("parent is not null").alias("a").join(base.select("tree", "node").alias("b"), same("a", "b", "parent"), "left_semi").select("tree", "node", F.col("parent").alias("to"))
     jumps = [stash(up)]
-    while not jumps[-1].isEmpty():
+    while 1 << (len(jumps) - 1) <= most and not jumps[-1].isEmpty():
         last = jumps[-1]
         jumps.append(stash(last.alias("a").join(last.alias("b"), same("a", "b", "to")).select("a.tree", "a.node", F.col("b.to").alias("to"))))
-        if len(jumps) > 40:
-            raise ValueError("the replies contain a cycle")
+    # A pointer farther than a tree has messages goes round a cycle.
+    endless = jumps[-1].select("tree", "node")
     inner = jumps[0].select("tree", F.col("to").alias("node"))
-    paths = base.alias("a").join(inner.alias("b"), same("a", "b", "node"), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
+    leaves = base.alias("a").join(inner.alias("b"), same("a", "b", "node"), "left_anti").select("tree", "node")
+    paths = leaves.alias("a").join(endless.alias("b"), same("a", "b", "node"), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
     for k in range(len(jumps) - 2, -1, -1):
         both = paths.alias("a").join(jumps[k].alias("b"), same("a", "b", "node"), "left").select("a.tree", "a.leaf", F.col("a.node"), "a.back", "b.to")
         steps = F.array(F.struct("node", "back"), F.struct(F.col("to").alias("node"), (F.col("back") + 2**k).alias("back")))
@@ -73,13 +77,14 @@ def linear(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn")
 
 
 def format_chats(messages: DataFrame, per_tree: int | None = 1, learn: str = "assistant") -> DataFrame:
-    """One row for each chosen path of messages (tree, node, parent, score, role, text): tree, leaf, formatted, segments.
+    """One row for each chosen path of messages (tree, node, parent, score, role, text): tree, leaf, formatted, mask.
 
     Each turn is START role newline text END. Control strings inside roles and texts are escaped so that they can be read
-    back. segments are the parts of `formatted`, in order, with loss true for the texts of the role `learn`. Nulls count
-    as empty; an empty table gives an empty one. A path is one row: its turns meet in one task, no other rows do.
+    back. mask holds, in order, where each text of the role `learn` starts in `formatted` (from 1) and its length. Null
+    roles and texts count as empty; of rows that repeat (tree, node) the least counts; an empty table gives an empty one. A path is one row: its turns meet in one task, no other rows do.
     """
-    rows = stash(messages.select("tree", "node", "parent", "score", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    whole = F.struct("parent", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = stash(messages.filter("node is not null").groupBy("tree", "node").agg(F.min(whole).alias("m")).select("tree", "node", "m.*"))
     paths = branches(rows, per_tree)
     full = paths.alias("a").join(rows.alias("b"), F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.node") == F.col("b.node"))).select("a.tree", "a.leaf", "a.back", "b.role", "b.text")
     turn = F.struct((-F.col("back")).alias("at"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == learn).alias("loss"))
@@ -87,7 +92,21 @@ def format_chats(messages: DataFrame, per_tree: int | None = 1, learn: str = "as
     part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     segments = F.flatten(F.transform("turns", lambda t: F.array(part(F.concat(F.lit(START), t["role"], F.lit("\n")), F.lit(False)), part(t["text"], t["loss"]), part(F.lit(END), F.lit(False)))))
     chats = chats.select("tree", "leaf", segments.alias("segments"))
-    return chats.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    chats = chats.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    # Segments as (start, length, loss), and of these the ones to learn from.
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)").alias("mask"))
+
+    def step(done: Column, s: Column) -> Column:
+        n = F.length(s["text"]).cast("long")
+        one = F.array(F.struct(done["at"].alias("start"), n.alias("length")))
+        return F.struct((done["at"] + n).alias("at"), F.when(s["loss"], F.concat(done["mask"], one)).otherwise(done["mask"]).alias("mask"))
+
+    return chats.select("tree", "leaf", "formatted", F.aggregate("segments", start, step, lambda done: done["mask"]).alias("mask"))
+
+
+def masked(formatted: Column, mask: Column) -> Column:
+    """The texts under a mask, unescaped, one behind the other."""
+    return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, m["start"].cast("int"), m["length"].cast("int")))), "")
 
 
 def read_turns(formatted: Column) -> Column:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow, slices
+
 #: Elements by how they are built and shown.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
@@ -30,7 +32,9 @@ CLOSES = {
     "body": ({"head"}, set()),
 }
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_NUMBER = re.compile(r"-?[0-9]{1,9}")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _HIDDEN = re.compile(r"(?i)(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -55,24 +59,45 @@ def build(page: str) -> Node:
             if line[i].tag in tags:
                 del line[i:]
 
+    quotes = True  # until a tag's quotes do not end: then, and in what follows, a tag ends at the first >
+
+    def tag_end(at: int) -> int:
+        nonlocal quotes
+        if quotes and (found := _QUOTED.match(page, at)):
+            return found.end()
+        quotes = False
+        return page.find(">", at) + 1
+
     while True:
-        found = _TOKEN.search(page, at)
-        text = page[at : found.start() if found else len(page)]
+        start = page.find("<", at)
+        while start >= 0 and not (page[start + 1 : start + 2] in ("!", "?") or _NAME.match(page, start + 1)):
+            start = page.find("<", start + 1)
+        text = page[at : start if start >= 0 else len(page)]
         if text:
             line[-1].children.append(html.unescape(text))
-        if not found:
+        if start < 0:
             return root
-        at, tag = found.end(), (found[2] or "").lower()
-        if not tag:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
             continue
-        if found[1]:
+        name = _NAME.match(page, start + 1)
+        end = tag_end(name.end()) if name else page.find(">", start) + 1
+        if not end:  # no tag ends from here on
+            line[-1].children.append(html.unescape(page[start:]))
+            return root
+        at = end
+        if not name:
+            continue
+        tag, rest = name[2].lower(), page[name.end() : end - 1]
+        if name[1]:
             for i in range(len(line) - 1, 0, -1):
                 if line[i].tag == tag:
                     del line[i:]
                     break
             continue
-        attributes = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(found[3])} if found[3] else {}
-        if tag in ("html", "body") and tag == "html":
+        attributes = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(rest)} if rest else {}
+        if tag == "html":
             root.attributes |= attributes
             continue
         if tag in CLOSES:
@@ -82,10 +107,11 @@ def build(page: str) -> Node:
         node = Node(tag, attributes)
         line[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}(?![^\s/>])", re.I).search(page, at)
             node.children.append(html.unescape(page[at : end.start() if end else len(page)]))
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not found[3].rstrip().endswith("/"):
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or len(page)
+        elif tag not in VOID and not rest.rstrip().endswith("/"):
             line.append(node)
 
 
@@ -137,10 +163,26 @@ class _Out:
         return self.lines
 
 
+#: Fixed value: the most columns and rows that the standard lets a cell cover.
+SPANS = {"colspan": 1000, "rowspan": 65534}
+
+
+def _span(cell: Node, name: str) -> int:
+    value = cell.attributes.get(name, "1").strip()
+    return min(int(value), SPANS[name]) if _NUMBER.fullmatch(value) and int(value) > 0 else 1
+
+
+def _render_whole(node: Node, depth: int) -> list[str]:
+    out = _Out()
+    _walk(node, out, False, depth, None)
+    return out.done()
+
+
 def _table(node: Node, depth: int) -> list[str]:
     """Rows of cells, each column as wide as its widest cell, two spaces between columns."""
     rows: list[list[list[str]]] = []
     captions: list[str] = []
+    taken: dict[int, int] = {}  # columns that a cell above still covers, and for how many rows
     todo = [node]
     while todo:
         at = todo.pop(0)
@@ -150,11 +192,19 @@ def _table(node: Node, depth: int) -> list[str]:
                     captions += _render(c, depth)
                 continue
             if c.tag == "tr":
-                rows.append([])
+                row: list[list[str]] = []
+                covered, taken = taken, {k: n - 1 for k, n in taken.items() if n > 1}
                 for cell in c.children:
-                    if isinstance(cell, Node) and _visible(cell):
-                        rows[-1].append(_render(cell, depth))
-                        rows[-1] += [[""]] * (min(int(s), 100) - 1 if (s := cell.attributes.get("colspan", "1")).isdecimal() and int(s) > 0 else 0)
+                    if isinstance(cell, str) or cell.tag not in ("td", "th"):  # shown before the table
+                        captions += _render(cell, depth) if isinstance(cell, str) and cell.strip() else _render_whole(cell, depth) if isinstance(cell, Node) and _visible(cell) else []
+                    elif _visible(cell):
+                        while len(row) in covered:
+                            row.append([""])
+                        wide, high = _span(cell, "colspan"), _span(cell, "rowspan")
+                        if high > 1:
+                            taken |= {k: high - 1 for k in range(len(row), len(row) + wide)}
+                        row += [_render(cell, depth), *[[""]] * (wide - 1)]
+                rows.append(row)
             elif c.tag in ("thead", "tbody", "tfoot", "colgroup"):
                 todo.append(c)
             else:
@@ -185,8 +235,8 @@ def _walk(node: Node | str, out: _Out, keep: bool, depth: int, items: list[int]
             out.block(1)
         out.block(2)
     elif tag in ("ul", "ol", "menu") and depth < MAX_DEPTH:
-        start = node.attributes.get("start", "1")
-        count = [int(start) if start.lstrip("-").isdecimal() else 1] if tag == "ol" else []
+        start = node.attributes.get("start", "1").strip()
+        count = [int(start) if _NUMBER.fullmatch(start) else 1] if tag == "ol" else []
         out.block(1 if items is not None else 2)
         for c in node.children:
             if isinstance(c, Node) and c.tag == "li" and _visible(c):
@@ -252,15 +302,16 @@ def extract(pages: DataFrame, source: str = "html", into: str = "text") -> DataF
     """pages without the column `source` and with `into`, the visible text of each page.
 
     A null or empty page gives an empty text, broken markup the text that a lenient reader would see; elements nested more
-    than MAX_DEPTH deep lose their layout, not their text. Rows are taken one by one, without a shuffle; other columns
-    stay, one named like `into` is replaced.
+    than MAX_DEPTH deep lose their layout, not their text. Text that stands in a table but in no cell comes before the
+    table. Rows are taken one by one, without a shuffle, so ties and repeated rows do not matter; pages of any length are
+    read in time in proportion to it. Other columns stay, one named like `into` is replaced; an empty table gives an empty one.
     """
     kept = [c for c in pages.columns if c not in (source, into)]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*kept).schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, source):
             texts = [visible_text(x) for x in batch[source].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(texts, pa.string())], names=[*kept, into])
 
-    return pages.select(*kept, F.col(source)).mapInArrow(run, f"{fields}`{into}` string")
+    return in_arrow(pages.select(*kept, F.col(source)), run, f"{fields}`{into}` string")

@@ -29,9 +29,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
-    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema))
-    chats = chat.format_chats(chat.linear(rows)).select("tree", "segments", "formatted", chat.read_turns(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"])), "")
+    one = lambda turn, role: F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(hard).alias("text"))
+    rows = rows.unionByName(spark.range(1).select(F.inline(F.array(one(0, "user"), one(1, "assistant")))))
+    chats = chat.format_chats(chat.linear(rows)).select("tree", "formatted", "mask", chat.read_turns(F.col("formatted")).alias("turns"))
+    loss = chat.masked(F.col("formatted"), F.col("mask"))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
         F.col("tree").alias("conv_id"),

@@ -246,3 +246,170 @@ def test_pipeline_is_made_of_its_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "MinHash near-dedup", "substring dedup", "best-fit packing"]
     kept = {r.doc_id for r in queries.op2_quality(spark, SF).collect() if r.kept}
     assert out and {r.doc_id for r in out} <= kept
+
+
+def test_chat_cycles_repeats_and_empty_tables(spark):
+    kind = "tree long, node long, parent long, score double"
+    rows = [(1, 1, None, 0.0), (1, 2, 1, 1.0), (2, 1, 2, 0.0), (2, 2, 1, 0.0), (2, 3, 2, 9.0), (3, 1, 1, 0.0), (None, 7, None, None), (None, 7, None, None), (4, 5, 99, 1.0), (4, None, 5, 1.0)]
+    got = sorted((str(r.tree), r.leaf, r.node) for r in chat.branches(spark.createDataFrame(rows, kind)).collect())
+    assert got == [("1", 2, 1), ("1", 2, 2), ("4", 5, 5), ("None", 7, 7)]
+    assert chat.branches(spark.createDataFrame([], kind)).count() == 0
+    turns = spark.createDataFrame([(1, 1, "user", None), (1, 1, "user", None), (1, 1, "assistant", "x<|im_end|>&lt;"), (2, None, None, "a")], "conv_id long, turn long, role string, text string")
+    out = {r.tree: r for r in chat.format_chats(chat.linear(turns)).select("tree", chat.read_turns(F.col("formatted")).alias("t"), chat.masked(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
+    assert [(t.role, t.text) for t in out[1].t] == [("assistant", "x<|im_end|>&lt;"), ("user", ""), ("user", "")] and out[1].loss == "x<|im_end|>&lt;" and out[2].loss == ""
+
+
+PAGES = {
+    "<table><tr>stray<td>x</td></tr></table>": "stray\nx",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a  b\n   c",
+    "<table><tr><th>Name<th>Age<tr><td>Al<td>7</table>after": "Name  Age\nAl    7\n\nafter",
+    '<ol start="--5"><li>a</ol><ol start="-5"><li>b</ol>': "1. a\n\n-5. b",
+    "<p>a &amp; b<!-- no --><br>c</p><div>d</div>e": "a & b\nc\n\nd\ne",
+    "<pre>x\n  y</pre>z": "x\n  y\n\nz",
+    "<ul><li>a<ul><li>b</ul></ul>": "- a\n  - b",
+    "a < b <script>x</script ><span style='display: none'>no</span>c": "a < b c",
+    "<p title='a>b'>t": "t",
+    "text <a href": "text <a href",
+}
+
+
+def test_html_pages_written_by_hand():
+    for page, want in PAGES.items():
+        assert html.visible_text(page) == want, page
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    for piece in ('<a "', "<a x", "<!", "<a '>'", "</script", "<script></script", "<div>"):
+        began = time.time()
+        html.visible_text(piece * 100_000)
+        assert time.time() - began < 20, piece
+
+
+def test_html_edge_cases(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "<b>a", None)], "page_id long, html string, text string")
+    assert sorted((r.page_id or 0, r.text) for r in html.extract(rows).collect()) == [(0, "a"), (1, ""), (1, "")]
+    assert html.extract(rows.limit(0)).count() == 0
+
+
+def test_licenses_planted(spark, edge):
+    rng, known = np.random.default_rng(4), licenses.templates()
+    texts = licenses.TEMPLATES | {f"{p.stem}-text": p.read_text() for p in licenses.LONG_TEXTS.glob("*.txt")}
+    rows, want = [], {}
+    for t in known:
+        for rate in (0.0, 0.05, 0.1):
+            words = [w if w in t.named or rng.random() >= rate else "" if rng.random() < 0.5 else "zzz" for w in licenses.words(texts[t.name])]
+            want[len(rows)] = t.name
+            rows.append((len(rows), " ".join(["some prose here"] * 9 + words + ["and more prose"] * 9)))
+    got = collections.defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.license)
+        assert 0.8 <= r.coverage <= 1
+    assert sum(want[i] in got[i] for i in want) >= 0.95 * len(want)
+    mit = texts["mit-text"]
+    plain = [(1, f"Intro {mit} {mit} outro"), (2, "Released under the BSD License."), (3, "Licensed under CC BY 4.0"), (4, "No license at all, and no software."), (5, None), (5, None)]
+    found = sorted((r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(plain, "doc_id long, text string")).collect())
+    assert found == [(1, "mit-text"), (1, "mit-text"), (2, "bsd"), (3, "cc-by-4.0")]
+    assert licenses.scan(edge.limit(0)).count() == 0
+
+
+def test_packing_against_best_fit_and_the_optimum():
+    rng = np.random.default_rng(1)
+
+    def optimum(lengths, size):
+        best = [len(lengths)]
+
+        def down(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(lengths):
+                best[0] = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + lengths[i] <= size and bins[k] not in bins[:k]:
+                    bins[k] += lengths[i]
+                    down(i + 1, bins)
+                    bins[k] -= lengths[i]
+            bins.append(lengths[i])
+            down(i + 1, bins)
+            bins.pop()
+
+        down(0, [])
+        return best[0]
+
+    for _ in range(150):
+        size = int(rng.integers(10, 40))
+        lengths = rng.integers(1, size + 1, int(rng.integers(1, 11)))
+        bins = packing.pack_lengths(lengths, size)
+        assert sorted(x for b in bins for x in b) == sorted(lengths.tolist()) and max(map(sum, bins)) <= size
+        assert len(bins) == optimum(sorted(lengths.tolist(), reverse=True), size) >= packing.bound(lengths, size)
+    for n, low, high in ((300, 800, 2000), (2000, 300, 3000), (3000, 1300, 1500)):
+        lengths = rng.integers(low, high, n)
+        assert packing.bound(lengths, 4096) <= len(packing.pack_lengths(lengths)) <= len(packing.best_fit(lengths, 4096))
+
+
+def test_passages_of_repeated_ids_other_ids_and_clashing_columns(spark):
+    words = lambda seed, n: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 5000, n))
+    shared, own = words(1, 80), words(2, 300)
+    rows = [("a", shared, 1, 2), ("b", f"{words(3, 50)} {shared}", 3, 4), ("b", own, 5, 6), (None, shared, 7, 8), ("c", None, 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _cut int, id int")
+    found = passages.repeated_passages(df).collect()
+    assert len(found) == 1 and {found[0].doc_id, found[0].other} == {"a", "b"}
+    left = [(r.doc_id, r.text, r["_cut"], r.id) for r in passages.without_repeats(df).collect()]
+    assert ("b", own, 5, 6) in left and (None, shared, 7, 8) in left and ("c", None, 9, 9) in left and len(left) in (4, 5)
+    assert passages.repeated_passages(df.limit(0)).count() == 0 and passages.without_repeats(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id long, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert len(got) == 4 and len({r.component for r in got if r.doc_id == 2}) == 1
+
+
+def test_bpe_and_packing_of_empty_tables_and_clashing_columns(spark, edge):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from parchment.llm import bpe
+
+    rows = edge.withColumn("ids", F.lit("x")).withColumn("row", F.lit(1))
+    got = {(r.doc_id, r.decoded) for r in bpe.recode(rows, path).collect()}
+    assert got == {(i, t or "") for i, t in EDGE} and bpe.recode(rows.limit(0), path).count() == 0
+    assert bpe.decode(bpe.encode(rows, path), path, into="back").filter("doc_id = 7").first().back == EDGE[-1][1]
+    pieces = spark.createDataFrame([(5, 1, 2, 3)] * 3, "length int, _row int, _block int, row int")
+    assert {tuple(r)[:4] for r in packing.pack(pieces).collect()} == {(5, 1, 2, 3)}
+
+
+def test_language_blocks_and_profiles_by_brute_force():
+    import random
+
+    random.seed(2)
+    for _ in range(200):
+        text = "".join(random.choice("ab ΣcÉ\n1.-") for _ in range(random.randrange(0, 60)))
+        whole, parts = langid.gram_counts(text), langid.gram_counts(text, block=5)
+        assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+        clean = re.sub(" +", " ", f" {''.join(c if c.isalpha() else ' ' for c in text.lower())} ")
+        want = collections.Counter(clean[i : i + n] for n in (1, 2, 3) for i in range(len(clean) - n + 1))
+        want = {k: n for k, n in want.items() if k != " "} if clean.strip() else {}
+        assert sorted(want.values()) == sorted(whole[1].tolist())
+
+
+def test_quality_verdict_by_its_own_thresholds(spark, docs):
+    stop = {w for ws in quality.STOP_WORDS.values() for w in ws}
+    for r in queries.op2_quality(spark, SF).collect():
+        text = docs[r.doc_id] or ""
+        n, lines = max(1, r.n_words), [x for x in text.split("\n") if WORD.search(x)]
+        plain = re.split(r"[\x20\x09-\x0D]+", text.lower().translate(str.maketrans(quality.MARKS, " " * len(quality.MARKS))))
+        sound = 2 <= r.word_chars / n <= 14 and r.n_symbols / n <= 0.3 and sum(w in stop for w in plain) / n >= 0.02 and r.n_dup_lines / max(1, len(lines)) <= 0.5
+        assert r.kept == (not r.base_failed and sound)
+
+
+def test_pipeline_stages_on_edge_cases(spark):
+    rows = [(i, t, "en", "s", 0, "q", "g", 1, 2) for i, t in EDGE] + [(20, " ".join(["the cat is on the mat and it was there with him"] * 1 + [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]), None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _quality string, _gone string, id int, row int")
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "best-fit packing":
+                assert out.columns == docs.columns
+            assert out.count() <= docs.count() + 2
