@@ -1,0 +1,75 @@
+"""Trees of clauses (run_id, clause_id, parent_id, ord, ...), ord being the reading order."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Doublings of the pointers to ancestors: trees of up to 2 ** 4 levels (word processors have nine).
+DOUBLINGS = 4
+
+
+def ancestors(clauses: DataFrame) -> DataFrame:
+    """(run_id, clause_id, ancestor_id, distance): every ancestor of each clause, by doubled self-joins. A parent that is missing has no row."""
+    known = clauses.select("run_id", F.col("clause_id").alias("ancestor_id"))
+    out = clauses.filter("parent_id is not null").select("run_id", "clause_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance")).join(known, ["run_id", "ancestor_id"], "left_semi")
+    for k in range(DOUBLINGS):
+        far = out.filter(F.col("distance") == 2**k).select("run_id", "clause_id", F.col("ancestor_id").alias("by"))
+        more = out.select("run_id", F.col("clause_id").alias("by"), F.col("ancestor_id").alias("next"), "distance")
+        steps = far.join(more, ["run_id", "by"]).select("run_id", "clause_id", F.col("next").alias("ancestor_id"), (F.col("distance") + 2**k).alias("distance"))
+        out = out.select("run_id", "clause_id", "ancestor_id", "distance").union(steps)
+    return out
+
+
+def related(clauses: DataFrame) -> DataFrame:
+    """clauses with level, path (ids from the root), child_count, descendant_count, sibling_index and _count, is_leaf, dfs_index and bfs_index."""
+    above = ancestors(clauses)
+    chains = above.groupBy("run_id", "clause_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("at"), "ancestor_id"))).alias("chain"))
+    below = above.groupBy("run_id", F.col("ancestor_id").alias("clause_id")).agg(F.count_if(F.col("distance") == 1).alias("child_count"), F.count("*").alias("descendant_count"))
+    rows = clauses.join(chains, ["run_id", "clause_id"], "left").join(below, ["run_id", "clause_id"], "left")
+    rows = rows.withColumn("ancestors", F.coalesce(F.transform("chain", lambda x: x["ancestor_id"]), F.expr("cast(array() as array<string>)"))).drop("chain")
+    rows = rows.withColumn("level", F.size("ancestors") + 1).withColumn("path", F.array_join(F.concat("ancestors", F.array("clause_id")), "/"))
+    siblings = Window.partitionBy("run_id", "parent_id")
+    whole = Window.partitionBy("run_id")
+    return (
+        rows.na.fill(0, ["child_count", "descendant_count"]).withColumn("is_leaf", F.col("child_count") == 0)
+        .withColumn("sibling_index", F.row_number().over(siblings.orderBy("ord"))).withColumn("sibling_count", F.count("*").over(siblings))
+        .withColumn("dfs_index", F.row_number().over(whole.orderBy("ord"))).withColumn("bfs_index", F.row_number().over(whole.orderBy("level", "ord")))
+    )
+
+
+def flags(clauses: DataFrame) -> DataFrame:
+    """(run_id, clause_id, flags): what a clause should be looked at for, in fixed order. A gap is seen from the last numbered sibling."""
+    tail = F.regexp_extract("number", r"(\d+)\D*$", 1).try_cast("int")
+    rows = clauses.join(clauses.select("run_id", F.col("clause_id").alias("parent_id"), F.col("depth").alias("parent_depth")), ["run_id", "parent_id"], "left").withColumn("tail", tail)
+    before = F.last("tail", ignorenulls=True).over(Window.partitionBy("run_id", "parent_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    empty = (F.trim(F.coalesce("title", F.lit(""))) == "") & (F.trim(F.coalesce("text", F.lit(""))) == "")
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("conflict"), "conflict"),
+            F.when((F.col("confidence") < 0.75) & ~F.col("source").isin("inferred", "heading"), "low_confidence"),
+            F.when(F.col("inferred"), "inferred_parent").when(F.col("by_format"), "heading_by_format").when(empty, "empty_text"),
+            F.when(F.col("adjusted"), "depth_adjusted"),
+            F.when(F.col("depth") > F.coalesce("parent_depth", F.lit(0)) + 1, "depth_jump"),
+            F.when(F.col("tail") > F.col("before") + 1, "sequence_gap"),
+        )
+    )
+    return rows.withColumn("before", before).select("run_id", "clause_id", F.array_join(found, ",").alias("flags"))
+
+
+def chunks(clauses: DataFrame) -> DataFrame:
+    """(run_id, clause_id, kind, text, paragraphs, at): a macro for each clause with children, of the texts of its subtree in order, then
+    its own text as a micro, if it has one; a micro for each leaf."""
+    own = F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif("text", F.lit("")))
+    rows = clauses.withColumn("own", own)
+    inner = ancestors(clauses).select("run_id", F.col("ancestor_id").alias("clause_id"), F.col("clause_id").alias("of"))
+    subtree = inner.union(inner.select("run_id", "clause_id", F.col("clause_id").alias("of")).distinct())
+    parts = subtree.join(rows.select("run_id", F.col("clause_id").alias("of"), F.col("ord").alias("o"), "own", "para"), ["run_id", "of"])
+    body = F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(F.struct("o", "own"))), lambda x: x["own"] != ""), lambda x: x["own"]), "\n")
+    macros = parts.groupBy("run_id", "clause_id").agg(body.alias("text"), F.array_join(F.sort_array(F.collect_set("para")), ",").alias("paragraphs"))
+    heads = rows.select("run_id", "clause_id", "ord", "own", "text", "para").withColumnRenamed("text", "said")
+    macro = macros.join(heads, ["run_id", "clause_id"]).select("run_id", "clause_id", "ord", F.lit("macro").alias("kind"), "text", "paragraphs")
+    micro = heads.join(macros.select("run_id", "clause_id", F.lit(True).alias("parent")), ["run_id", "clause_id"], "left").filter("parent is null or said <> ''")
+    micro = micro.select("run_id", "clause_id", "ord", F.lit("micro").alias("kind"), F.col("own").alias("text"), F.coalesce(F.col("para").cast("string"), F.lit("")).alias("paragraphs"))
+    order = Window.partitionBy("run_id").orderBy("ord", "kind")
+    return macro.union(micro).withColumn("at", F.row_number().over(order)).drop("ord")

@@ -1,0 +1,73 @@
+"""Small written-out tables with the columns of reviews, runs, clauses and publishing, for rules that the supplied tables have no rows for.
+
+Each is the text of SQL values, so that Spark and the comparing SQL read the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = {
+    # A run's items in order: the model's answer, the text, the review.
+    "items": (
+        "run_id, chunk_id, document_id, ord, outcome, label, type_key, sub_type, confidence, expected, source_text, edited, flagged, decision, r_label, r_type, r_sub, note, deleted, merged_into",
+        """('r1','c1','d1',1,'classified','Clause','term','t1',0.849e0,'term','Alpha text',null,true,null,null,null,null,null,false,null),
+        ('r1','c2','d1',2,'classified','Clause','liability',null,0.85e0,'term|notice','Beta text  ','Beta edited  ',true,'accepted','Clause','liability',null,null,false,null),
+        ('r1','c3','d1',3,'unclassified','Clause',null,null,0.4e0,'','Gamma',null,true,'corrected','Clause',null,null,null,false,null),
+        ('r1','c4','d1',4,'failed',null,null,null,null,'notice','Delta','',true,null,null,null,null,null,true,'c5'),
+        ('r1','c5','d1',5,'classified','Non-clause','heading',null,0.99e0,'term','Epsilon','Delta\nEpsilon',false,null,null,null,null,null,false,null),
+        ('r1','c6','d1',6,'classified','Clause','notice','n2',0.9e0,'notice','Zeta',null,false,'rejected',null,null,null,'why',false,null),
+        ('r2','c1','d2',1,'classified','Clause','indemnity',null,0.95e0,'indemnity',' ',null,true,null,null,null,null,null,true,null),
+        ('r2','c2','d2',2,'classified','Clause','term',null,0.2e0,'','Eta',null,true,null,null,null,null,null,true,null),
+        ('r3','c1','d3',1,'classified','Clause',null,null,0.9e0,'','Theta',null,false,null,null,null,null,null,false,null),
+        ('r3','c1','d3',2,'unclassified','Non-clause',null,'s',1.2e0,'',null,null,false,null,null,null,null,null,false,null),
+        ('r3','c3','d9',3,'failed','Clause','term',null,0.5e0,'','Iota',null,false,'rejected','Non-clause','x','s',null,false,null),
+        ('r3','c4','d3',4,'classified','Non-clause','heading','s',0.9e0,'','Kappa',null,false,'corrected','Clause',null,null,null,false,null)""",
+    ),
+    # What a reviewer submits; absent fields are not in `present`.
+    "submitted": (
+        "sid, chunk_id, present, label, type_key, sub_type, note",
+        """(1,'c1','label,type,sub','Clause','term','t1',null),(2,'c1','label,type,sub','Clause','notice',null,null),(3,'c1','','x','x','x',null),
+        (4,'c3','','x','x','x',null),(5,'c3','label,type','Clause','term',null,null),(6,'c5','label,type,sub','Non-clause','heading','gone',null),
+        (7,'c2','label','Non-clause',null,null,null),(8,'c2','label','Wrong',null,null,null),(9,'c6','type','x',null,null,null),(10,'c4','label,type','Clause','',null,null)""",
+    ),
+    "records": (
+        "document_id, paragraph_id, is_modified, synced_at, vector_id, deleted",
+        """('d1','p1',false,10,'v1',false),('d1','p2',true,10,'v2',false),('d1','p3',false,null,null,false),('d1','p4',false,9,'v4',true),('d1','p5',false,null,null,true),
+        ('d2','p1',false,null,null,false),('d2','p2',true,null,null,false),('d3','p1',false,5,'v9',false),('d3','p2',false,null,'v8',true)""",
+    ),
+    "runs": (
+        "document_id, attempt, status, deleted, build, schema_v, mtime, seen_mtime, micro, rows_n, failed_n, hash",
+        """('d1',1,'succeeded',false,'b2',3,100,100,5,5,0,'h1'),('d1',2,'failed',false,'b2',3,100,120,5,2,0,'h1'),('d2',1,'succeeded',false,'b1',3,100,90,4,4,4,'h2'),
+        ('d3',1,'succeeded',true,'b1',1,1,9,0,0,0,''),('d4',1,'succeeded',false,'b2',2,7,8,3,3,1,'h4'),('d5',1,'failed',false,'b2',3,7,8,1,0,0,'h5'),
+        ('d6',1,'succeeded',false,'b2',3,7,8,0,0,0,'h6'),('d7',1,'succeeded',false,'b2',3,null,8,2,2,0,null),('d8',1,'succeeded',false,'b2',3,8,8,2,2,2,'h8')""",
+    ),
+    "known_files": (
+        "document_id, file_id, name, folder, mtime, deleted",
+        """('d1','f1','a','x',1,false),('d2','f2','b','x',1,false),('d3','f3','c','x',1,true),('d4','f4','d','x',1,false),('d5','f5','e','y',1,false),('d6','f6','g','z',1,false),
+        ('d7','f7','h',null,1,false),('d8','f8','i','x',1,true),('d9','f9','j','x',1,false)""",
+    ),
+    "seen_files": ("file_id, name, folder, mtime", "('f1','a','x',1),('f2','b2','x',2),('f3','c2','y',2),('f4','d','x',5),('n5','e','y',1),('f9','j','w',1),('n1','new','x',1)"),
+    "walked": ("folder", "('x'),('w')"),
+    # Clauses in reading order.
+    "clauses": (
+        "run_id, clause_id, parent_id, ord, number, title, text, source, confidence, depth, inferred, by_format, adjusted, conflict, exhibit, para",
+        """('t1','1',null,1,'1','Definitions','In this agreement:','auto_number',0.99e0,1,false,false,false,false,false,1),('t1','1.1','1',2,'1.1','','a term means a thing;','auto_number',0.99e0,2,false,false,false,false,false,2),
+        ('t1','1.2','1',3,'1.2','','another term.','typed',0.7e0,2,false,false,false,false,false,3),('t1','1.4','1',4,'1.4','','a gap lies before.','typed',0.9e0,2,false,false,true,false,false,4),
+        ('t1','2',null,5,'2','TERM','','inferred',0.5e0,1,true,false,false,false,false,null),('t1','2.1','2',6,'2.1','','Two years.','typed',0.6e0,2,false,false,false,true,false,6),
+        ('t1','2.1.a','2.1',7,'(a)','','unless ended;','typed',0.9e0,4,false,false,false,false,false,7),('t1','h','2',8,null,'Notes','','heading',0.7e0,2,false,true,false,false,false,8),
+        ('t1','2.2','2',9,'2.2','','Signed by: ______','typed',0.9e0,2,false,false,false,false,false,9),('t1','A',null,10,'A','Exhibit A','','heading',0.7e0,1,false,false,false,false,true,10),
+        ('t1','A.1','A',11,'1','','List of goods.','auto_number',0.99e0,2,false,false,false,false,false,11),('t2','1',null,1,'1','','Alone.','typed',0.9e0,1,false,false,false,false,false,1)""",
+    ),
+    "answers": ("call_id, id, label, type_key, sub_type, confidence, reason", "(1,'p1','Clause','term','A  title.',0.9e0,'ok'),(1,'p2','Clause','term',null,0.8e0,'ok'),(1,'p2','Clause','notice',null,0.7e0,'again'),(1,'p9','Clause','term',null,0.9e0,'who'),(1,'p4','Clause',null,'null',0.9e0,''),(1,'p5','Non-clause','heading',null,1.4e0,'much'),(2,'p1','Clause',null,'\"Quoted:\"',0.5e0,'fine')"),
+    "asked": ("call_id, id", "(1,'p1'),(1,'p2'),(1,'p3'),(1,'p4'),(1,'p5'),(2,'p1'),(3,'p1')"),
+}
+
+
+def fixture(spark: SparkSession, name: str) -> DataFrame:
+    columns, values = TABLES[name]
+    return spark.sql(f"select * from values {values} as t({columns})")
+
+
+def tables_sql(*names: str) -> str:
+    """The start of a query over fixtures: `with name as (...), ...`."""
+    return "with recursive " + ", ".join(f"{n} as (select * from (values {TABLES[n][1]}) t({TABLES[n][0]}))" for n in names)
