@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,21 +18,28 @@ def bm25(docs: DataFrame, query: str, id: str, text: str) -> DataFrame:
     """(id, score) of every document, those that score zero included.
 
     A negative inverse document frequency becomes EPSILON times the mean over all terms. A word that the query holds
-    twice counts twice. Only the query's terms are joined with documents; frequencies of all terms are one aggregate.
+    twice counts twice. Two passes: one aggregate of document frequencies, whose row without a term holds the number of
+    documents and of their words; then a projection of each document, without a shuffle. Null texts score zero.
     """
-    spark = docs.sparkSession
+    asked = Counter(re.findall("[a-z]+", query.lower()))
     counted = docs.select(F.col(id).alias("id"), tokens(F.col(text)).alias("t"))
-    size = counted.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    idf = counted.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
-    idf = idf.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = idf.agg(F.avg("raw").alias("mean_idf"))
-    asked = spark.sql("select :q as q", args={"q": query}).select(F.explode(tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    weight = idf.join(F.broadcast(asked), "term").crossJoin(F.broadcast(mean))
-    weight = weight.select("term", (F.col("times") * F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))).alias("w"))
-    found = counted.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(F.broadcast(weight), "term").groupBy("id", "dl", "term", "w").agg(F.count("*").alias("tf"))
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    scores = found.crossJoin(F.broadcast(size)).groupBy("id").agg(F.sum(part).alias("score"))
-    return counted.select("id").join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    terms = F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct("t"), F.expr("cast(array() as array<string>)")))
+    df = counted.select(F.size("t").alias("dl"), F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.avg("dl").alias("mean"))
+    size = df.filter("term = ''").select(F.col("df").alias("n"), "mean")
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = df.filter("term <> ''").select("term", "df").crossJoin(F.broadcast(size)).select("term", "mean", raw.alias("raw"))
+    of_terms = [F.max(F.when(F.col("term") == t, F.col("raw"))).alias(f"raw_{t}") for t in asked]
+    stats = idf.agg(F.first("mean").alias("mean"), F.avg("raw").alias("mean_idf"), *of_terms)  # one row
+    parts = []
+    for t, times in asked.items():
+        weight = times * F.when(F.col(f"raw_{t}") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col(f"raw_{t}"))
+        parts.append(F.coalesce(weight * F.col(f"tf_{t}") * (K1 + 1) / (F.col(f"tf_{t}") + K1 * (1 - B + B * F.col("dl") / F.col("mean"))), F.lit(0.0)))
+
+    def count_of(term: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == term)).alias(f"tf_{term}")
+
+    rows = counted.select("id", F.size("t").alias("dl"), *map(count_of, asked)).crossJoin(F.broadcast(stats))
+    return rows.select("id", sum(parts, F.lit(0.0)).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
