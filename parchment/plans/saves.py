@@ -56,14 +56,13 @@ def r4_save_batches(spark, sf_dir):
     return validate_save(sent, items)
 
 
-@query("""with t as (select conv_id, turn, coalesce(text, '') x, turn % 3 = 1 gone from conversations), d as (select *, min(case when not gone then turn end) over (partition by conv_id order by turn rows between 1 following and unbounded following) target from t)
-    select d.conv_id, d.turn, d.target, md5(rtrim(d.x, ' ') || chr(10) || t.x) merged from d join t on t.conv_id = d.conv_id and t.turn = d.target where d.gone and (select count(*) from conversations c where c.conv_id = d.conv_id) = (select count(distinct turn) from conversations c where c.conv_id = d.conv_id)""")
+@query("""with t as (select conv_id, turn, coalesce(text, '') x, turn % 3 = 1 gone, row_number() over (partition by conv_id order by turn nulls first, role nulls first, coalesce(text, '')) n from conversations),
+    d as (select *, min(case when not gone then n end) over (partition by conv_id order by n rows between 1 following and unbounded following) next from t)
+    select d.conv_id, d.turn, t.turn target, md5(rtrim(d.x, ' ') || chr(10) || t.x) merged from d join t on t.conv_id = d.conv_id and t.n = d.next where d.gone""")
 def r6_merge_into_next(spark, sf_dir):
-    """A deleted item's text goes in front of the next live one. Conversations with two rows of one turn have no such order and are left out."""
-    rows = load(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("x"), (F.col("turn") % 3 == 1).alias("gone"))
-    sound = rows.groupBy("conv_id").agg((F.count("*") == F.count_distinct("turn")).alias("ok")).filter("ok").select("conv_id")
-    rows = rows.join(sound, "conv_id")
-    later = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    """A deleted item's text goes in front of the next live one; items of one turn go by role, then text."""
+    rows = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("x"), (F.col("turn") % 3 == 1).alias("gone"))
+    later = Window.partitionBy("conv_id").orderBy("turn", "role", "x").rowsBetween(1, Window.unboundedFollowing)
     live = F.when(~F.col("gone"), F.struct("turn", "x"))
     found = rows.withColumn("to", F.first(live, ignorenulls=True).over(later)).filter("gone and to is not null")
     return found.select("conv_id", "turn", F.col("to.turn").alias("target"), F.md5(F.concat(F.rtrim("x"), F.lit("\n"), F.col("to.x"))).alias("merged"))
