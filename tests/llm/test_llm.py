@@ -222,6 +222,46 @@ def test_passages_recall_of_short_and_edited_ones(spark):
     assert recall[0.0] == 1 and recall[0.05] >= 0.97 and recall[0.1] >= 0.93 and recall[0.15] >= 0.8
 
 
+def _uncovered(spark, rows):
+    """(doc, place) of words in runs of 50 that an earlier text holds, by brute force, that are in no passage."""
+    known, missing = {}, set()
+    covered = collections.defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        covered[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    for i, text in sorted(rows):
+        words = text.split()
+        runs = [tuple(words[a : a + 50]) for a in range(len(words) - 49)]
+        missing.update((i, a + k) for a, run in enumerate(runs) if run in known for k in range(50) if a + k not in covered[i])
+        known.update((run, i) for run in runs if run not in known)
+    return missing
+
+
+def test_passages_that_neither_first_nor_last_holders_of_seeds_hold(spark):
+    rng = np.random.default_rng(8)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 20000, n)]
+    rows = []
+    for at in range(0, 40000, 100):
+        whole = new(60)
+        parts = {5: whole[:40], 6: whole[20:], 10: whole, 15: whole[:40], 16: whole[20:], 20: whole}
+        if at % 200:  # the first holder has it twice
+            parts[4] = whole[5:45] + new(9) + whole[8:48]
+        rows += [(at + i, " ".join(new(40) + part + new(40))) for i, part in parts.items()]
+    assert not _uncovered(spark, rows)
+
+
+def test_passages_cover_every_exact_run(spark):
+    rng = np.random.default_rng(9)
+    sources = [[f"{s}_{x}" for x in rng.integers(0, 400, 300)] for s in range(6)]
+    rows = []
+    for i in range(250):
+        words = []
+        for _ in range(rng.integers(1, 7)):
+            source, a = sources[rng.integers(6)], rng.integers(0, 250)
+            words += source[a : a + rng.integers(10, 120)] * (1 + (rng.random() < 0.2)) + [f"x{x}" for x in rng.integers(0, 50000, rng.integers(0, 15))]
+        rows.append((i, " ".join(w if rng.random() < 0.995 else "y" for w in words)))
+    assert not _uncovered(spark, rows)
+
+
 def test_chat_branches_and_round_trip(spark):
     tree = spark.createDataFrame([(1, 1, None, 0.0), (1, 2, 1, 1.0), (1, 3, 1, 5.0), (1, 4, 3, 1.0)], "tree long, node long, parent long, score double")
     best = {(r.tree, r.leaf, r.node) for r in chat.branches(tree).collect()}
