@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the synthetic tables, and their SQL."""
+"""Queries op1 to op13 over the synthetic tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, langid, licenses, neardup, packing, passages, quality, topk
+from . import bpe, chat, classifier, clusters, html, langid, licenses, neardup, packing, passages, quality, spelling, topk
 from .common import documents
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -75,7 +75,50 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_near_duplicates, op4_chats, op5_top_k, op6_html, op7_passages, op8_bpe, op9_packing, op10_licenses)}
+def op11_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = lambda: F.crc32(F.col("id").cast("string").cast("binary")) % 5
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    out = classifier.classify(documents(spark, sf_dir, "doc_id", "text"), labels, fold() != 0)
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+#: Clusters and rounds of op12, and the length of its vectors.
+CLUSTERS, ROUNDS, COMPONENTS = 40, 5, 64
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(F.size("embedding") == COMPONENTS)
+    found, centroids = clusters.lloyd(topk.whole_vectors(rows), CLUSTERS, ROUNDS, "2")
+    digests = F.array(*[F.lit(clusters.digest(c)) for c in centroids]).cast("array<string>")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.get(digests, F.col("cluster")).alias("centroid_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.counted_words(documents(spark, sf_dir, "doc_id", "text"), "[A-Za-z\u00C0-\u00FF]+", every=97)
+    return spelling.variants(words).select("word", "n", "form", "form_n", "n_near", "root")
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_near_duplicates, op4_chats, op5_top_k, op6_html, op7_passages, op8_bpe, op9_packing, op10_licenses, op11_quality_scores, op12_clusters, op13_spelling)}
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Rounds written out: a<r> assigns, c<r> are the centroids after r rounds."""
+    gap = "list_sum(list_transform(list_zip(v.w, c.w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    assign = f"select vec_id, w, cluster, d from (select v.vec_id, v.w, c.cluster, {gap} d, row_number() over (partition by v.row order by {gap}, c.cluster) best from v cross join c{{r}} c) where best = 1"
+    means = """select c.cluster, coalesce(m.w, c.w) w from c{r} c left join (
+        select cluster, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) w
+        from (select cluster, i, sum(w[i]) s, count(*) n from a{r}, range(1, 65) t(i) group by cluster, i) group by cluster) m using (cluster)"""
+    steps = "".join(f", a{r} as ({assign.format(r=r)})" + (f", c{r + 1} as ({means.format(r=r)})" if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+        with v as (
+            select row_number() over () "row", vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) w from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+        ), c0 as (
+            select row_number() over (order by h) - 1 cluster, w from (select sha256('2:' || vec_id) h, w from v where vec_id is not null order by h limit {k})
+        ){steps}
+        select vec_id, cast(a.cluster as integer) cluster, cast(d as bigint) distance, cast(sum(d) over (partition by a.cluster) as bigint) cluster_inertia,
+            cast(sum(d) over () as bigint) inertia, sha256(array_to_string(c.w, ',')) centroid_sha256
+        from a{rounds} a join c{rounds} c on a.cluster = c.cluster"""
+
 
 ORACLE_SQL = {
     "op4_chats": r"""
@@ -101,4 +144,5 @@ ORACLE_SQL = {
             from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
         ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
         select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 5""",
+    "op12_clusters": _lloyd_sql(CLUSTERS, ROUNDS),
 }
