@@ -57,8 +57,36 @@ def replace(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, number: batch.write.mode("overwrite").parquet(path)
 
 
-def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str) -> None:
-    """Run a stream over all that its source holds now, with its checkpoint in the shared folder."""
-    spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, "stream")).foreachBatch(write).trigger(availableNow=True).start()
-    query.awaitTermination()
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def append(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer for append mode: a folder a batch, so that a batch that runs again takes the place of its first run."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def in_flight(queued: DataFrame, ended: DataFrame, window: str = "30 minutes", late: str = "0 seconds") -> DataFrame:
+    """The stream of (event_id, document, at, end_id, end_at): each start of work with each end of it within `window`, or with nulls if there is none.
+
+    Both streams are (event_id, document, at timestamp). A start is in flight from `at` on until its first end, or for the whole window; an end at
+    the same moment counts. Rows later than `late` behind the newest of either stream may be dropped. A start without an end comes
+    out once both watermarks have passed its window; then its state, and that of the ends before, is dropped.
+    """
+    q = queued.filter("document is not null and at is not null").withWatermark("at", late)
+    e = ended.select(F.col("event_id").alias("end_id"), F.col("document").alias("end_document"), F.col("at").alias("end_at")).filter("end_document is not null and end_at is not null").withWatermark("end_at", late)
+    within = F.expr(f"document = end_document and end_at >= at and end_at <= at + interval {window}")
+    return q.join(e, within, "left_outer").select("event_id", "document", "at", "end_id", "end_at")
+
+
+def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str, rocksdb: bool = False) -> None:
+    """Run a stream over all that its source holds now, with its checkpoint in the shared folder; with `rocksdb`, its state is kept by RocksDB."""
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if rocksdb:
+        spark.conf.set(key, ROCKSDB)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, "stream")).foreachBatch(write).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if rocksdb:
+            spark.conf.set(key, before) if before else spark.conf.unset(key)
