@@ -1,4 +1,4 @@
-"""The algebra of reviews: routing, decisions, readiness, deletes, restores and publishing. Inputs have the columns of plans.fixtures."""
+"""The algebra of reviews: routing, decisions, readiness, deletes, restores and publishing. Inputs have the columns of plans.derived."""
 
 from __future__ import annotations
 
@@ -14,6 +14,10 @@ def current_text() -> Column:
     return F.coalesce("edited", "source_text")
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s+$", "")
+
+
 def routed(items: DataFrame) -> DataFrame:
     """items with deviated, reasons (in fixed order) and needs_review."""
     expected = F.filter(F.split("expected", r"\|"), lambda x: x != "")
@@ -33,7 +37,7 @@ def decided(items: DataFrame, submitted: DataFrame) -> DataFrame:
     """(sid, verdict, label, type_key, sub_type) of submissions: accepted if the triple is the model's, corrected if it is another
     valid one, else an error. Fields that are absent keep the current value: the reviewer's, or the model's if there is none or
     the item was rejected."""
-    joined = submitted.alias("s").join(items.alias("i"), "chunk_id")
+    joined = submitted.alias("s").join(items.alias("i"), ["run_id", "chunk_id"])
     own = F.col("i.decision").isin("accepted", "corrected")
 
     def value(field: str, mine: str, model: str) -> Column:
@@ -61,24 +65,33 @@ def readiness(items: DataFrame) -> DataFrame:
     )
 
 
-def deleted_into_next(items: DataFrame, document: str, chunk: str) -> DataFrame:
-    """(chunk_id, text, deleted, merged_into) of the document's items after one is deleted and merged into the next live one."""
-    rows = items.filter(F.col("document_id") == document)
-    gone = rows.filter(F.col("chunk_id") == chunk).select(F.col("ord").alias("g_ord"), current_text().alias("g_text"))
-    target = rows.join(gone, (~F.col("deleted")) & (F.col("ord") > F.col("g_ord"))).groupBy("g_ord", "g_text").agg(F.min_by("chunk_id", "ord").alias("target"))
-    state = rows.join(target, F.lit(True), "left")
-    hit, is_target = F.col("chunk_id") == chunk, F.col("chunk_id") == F.col("target")
-    text = F.when(is_target, F.concat(F.rtrim("g_text"), F.lit("\n"), current_text())).otherwise(current_text())
-    return state.select("chunk_id", text.alias("text"), (F.col("deleted") | hit).alias("deleted"), F.when(hit, F.col("target")).otherwise(F.col("merged_into")).alias("merged_into"))
+def deleted_into_next(items: DataFrame, gone: DataFrame) -> DataFrame:
+    """(run_id, ord, text, deleted, merged_into) of all items after one of a run, (run_id, ord) in `gone`, is deleted and merged into the next live one (merged_into is its ord).
+
+    A run has one such item at most: a save deletes them one after the other.
+    """
+    mine = items.select("run_id", F.col("ord").alias("g_ord"), F.coalesce(_stripped(current_text()), F.lit("")).alias("g_text"))
+    hit = gone.select("run_id", F.col("ord").alias("g_ord")).join(mine, ["run_id", "g_ord"])
+    target = items.filter("not deleted").join(hit, "run_id").filter("ord > g_ord").groupBy("run_id").agg(F.min("ord").alias("target"))
+    state = items.join(hit.join(target, "run_id", "left"), "run_id", "left")
+    is_hit, is_target = F.coalesce(F.col("ord") == F.col("g_ord"), F.lit(False)), F.col("ord") == F.col("target")
+    text = F.when(is_target, F.concat("g_text", F.lit("\n"), F.coalesce(current_text(), F.lit("")))).otherwise(current_text())
+    return state.select("run_id", "ord", text.alias("text"), (F.col("deleted") | is_hit).alias("deleted"), F.when(is_hit, F.col("target")).alias("merged_into"))
 
 
 def restored(items: DataFrame) -> DataFrame:
-    """(chunk_id, target, unmerged, target_text) for each merged item: its text leaves the target if that is live and starts with it, and holds more."""
+    """(run_id, ord, target, unmerged, target_text) for each merged item: its text leaves the target if that is live and starts with it, and holds more."""
     gone = items.filter("deleted and merged_into is not null").alias("g")
-    target = items.select("document_id", F.col("chunk_id").alias("merged_into"), current_text().alias("t_text"), F.col("deleted").alias("t_deleted"))
-    rows = gone.join(target, ["document_id", "merged_into"]).withColumn("prefix", F.concat(F.rtrim(F.coalesce(F.nullif("edited", F.lit("")), "source_text")), F.lit("\n")))
+    target = items.select("run_id", F.col("chunk_id").alias("merged_into"), current_text().alias("t_text"), F.col("deleted").alias("t_deleted"))
+    rows = gone.join(target, ["run_id", "merged_into"]).withColumn("prefix", F.concat(_stripped(F.coalesce(F.nullif("edited", F.lit("")), "source_text")), F.lit("\n")))
     fits = ~F.col("t_deleted") & F.startswith("t_text", "prefix") & (F.length("t_text") > F.length("prefix"))
-    return rows.select("chunk_id", F.col("merged_into").alias("target"), fits.alias("unmerged"), F.when(fits, F.substring("t_text", F.length("prefix") + 1, F.length("t_text"))).otherwise(F.col("t_text")).alias("target_text"))
+    return rows.select("run_id", "ord", F.col("merged_into").alias("target"), fits.alias("unmerged"), F.when(fits, F.substring("t_text", F.length("prefix") + 1, F.length("t_text"))).otherwise(F.col("t_text")).alias("target_text"))
+
+
+def next_status(now: Column, all_decided: Column) -> Column:
+    """A document's status after a save: reviewed or in_review, and reopened if it was published or reopened before."""
+    again = now.isin("published", "reopened_in_review", "reopened_reviewed")
+    return F.concat(F.when(again, "reopened_").otherwise(""), F.when(all_decided, "reviewed").otherwise("in_review"))
 
 
 def publish_plan(records: DataFrame) -> DataFrame:

@@ -20,6 +20,54 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
             from lineitem join orders on l_orderkey = o_orderkey) x""",
         ("lineitem", "orders"),
     ),
+    # The line items of an order as the items of a run: the model's answer, the text, the review. Some break a constraint.
+    "items": (
+        """select run_id, case when p % 97 = 0 then 'c1' else concat('c', ord) end as chunk_id, case when s % 89 = 0 then 'd0' else document_id end as document_id, ord, outcome, label, type_key, case when label = 'Non-clause' and s % 23 <> 0 then null when q % 4 = 0 then concat('s', q % 3) end as sub_type,
+            case when outcome = 'failed' and s % 29 <> 0 then null when q = 50 and p % 2 = 0 then cast(1.2 as double) else cast(q as double) / 50 end as confidence, case p % 4 when 0 then '' when 1 then 'term' when 2 then 'term|notice' else 'indemnity' end as expected, source_text,
+            case when merged_before then rtrim(text_before) || chr(10) || source_text when q % 5 = 0 then concat('edited ', q) when q % 7 = 0 then '' end as edited, q % 3 = 0 as flagged, decision, case decision when 'accepted' then label when 'corrected' then 'Clause' end as r_label,
+            case decision when 'accepted' then type_key when 'corrected' then case when p % 3 <> 0 then 'notice' end end as r_type, case when q % 2 = 0 then 's' end as r_sub, case when decision = 'rejected' then case when p % 2 = 0 then 'why' else '' end end as note, deleted, case when merges then concat('c', ord + 1) end as merged_into
+        from (select *, lag(merges) over (partition by run_id order by ord) as merged_before, lag(source_text) over (partition by run_id order by ord) as text_before from (
+            select *, case when outcome = 'failed' then case when s % 13 = 0 then 'Clause' end when s % 47 = 0 then null when outcome = 'classified' and p % 5 = 0 then 'Non-clause' else 'Clause' end as label,
+                case when outcome <> 'classified' then case when s % 31 = 0 then 'term' end else case s % 6 when 0 then 'term' when 1 then 'liability' when 2 then 'indemnity' when 3 then 'notice' when 4 then 'heading' end end as type_key,
+                case when s % 17 = 0 then ' ' when s % 19 = 0 then null else concat('text ', p, case when q % 3 = 0 then '  ' else '' end) end as source_text, p % 3 = 0 and s % 2 = 0 as merges from (
+                select concat('r', l_orderkey) as run_id, concat('d', l_orderkey) as document_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as int) as ord, l_partkey as p, l_suppkey as s, cast(l_quantity as int) as q,
+                    case when l_partkey % 11 = 0 then 'failed' when l_partkey % 7 = 0 then 'unclassified' else 'classified' end as outcome, case l_suppkey % 5 when 0 then 'accepted' when 1 then 'corrected' when 2 then 'rejected' end as decision, l_partkey % 3 = 0 as deleted from lineitem) b) c) d""",
+        ("lineitem",),
+    ),
+    # What a reviewer submits for line items; absent fields are not in `present`.
+    "submitted": (
+        """select concat(l_orderkey, '/', ord) as sid, concat('r', l_orderkey) as run_id, concat('c', ord) as chunk_id, case q % 5 when 0 then '' when 1 then 'label,type' when 2 then 'label' when 3 then 'type' else 'label,type,sub' end as present,
+            case p % 5 when 0 then 'Wrong' when 1 then 'Non-clause' when 2 then '' else 'Clause' end as label, case s % 4 when 0 then 'term' when 1 then 'notice' when 2 then '' else 'liability' end as type_key, case when p % 2 = 0 then concat('s', q % 3) end as sub_type
+        from (select l_orderkey, l_partkey as p, l_suppkey as s, cast(l_quantity as int) + 1 as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as ord from lineitem) b""",
+        ("lineitem",),
+    ),
+    # The paragraphs of a document as they were last synchronised.
+    "records": (
+        """select l_orderkey as document_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as int) as paragraph_id, l_partkey % 3 = 0 as is_modified, case when l_suppkey % 4 <> 0 then cast(l_suppkey as int) end as synced_at, case when l_partkey % 5 <> 0 then concat('v', l_partkey) end as vector_id, l_returnflag = 'R' as deleted from lineitem""",
+        ("lineitem",),
+    ),
+    # A customer's orders as the runs over a document.
+    "runs": (
+        """select *, case when o % 11 = 0 then '' when o % 13 <> 0 then concat('h', o % 3) end as hash from (select o_custkey as document_id, o_orderkey as o, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as int) as attempt, case when o_orderstatus = 'O' then 'failed' else 'succeeded' end as status, o_custkey % 17 = 0 as deleted,
+            case when o_orderkey % 5 = 0 then 'b1' else 'b2' end as build, case when o_orderkey % 7 = 0 then 2 else 3 end as schema_v, case when o_orderkey % 9 <> 0 then cast(o_orderkey % 50 as int) end as mtime, case when o_custkey % 8 <> 0 then cast(o_custkey % 60 as int) end as seen_mtime,
+            cast(o_orderkey % 4 as int) as micro, cast(case when o_orderkey % 6 = 0 then o_orderkey % 2 else o_orderkey % 4 end as int) as rows_n, cast(case when o_orderkey % 10 = 0 then o_orderkey % 4 when o_orderkey % 3 = 0 then 1 else 0 end as int) as failed_n from orders) r""",
+        ("orders",),
+    ),
+    # Customers as known documents, and what a walk over the folders found: renamed, moved and touched files, new ids, new files, and some not at all.
+    "known_files": ("select concat('d', c_custkey) as document_id, concat('f', c_custkey) as file_id, c_name as name, case when c_custkey % 41 = 0 then null else concat('x', c_nationkey) end as folder, cast(c_custkey % 7 as int) as mtime, c_custkey % 13 = 0 as deleted from customer", ("customer",)),
+    "seen_files": (
+        """select concat(case when c_custkey % 12 = 1 then 'n' else 'f' end, c_custkey) as file_id, case when c_custkey % 5 = 0 then concat(c_name, ' 2') else c_name end as name, concat('x', case when c_custkey % 9 = 0 then c_nationkey + 1 else c_nationkey end) as folder, cast(case when c_custkey % 4 = 0 then c_custkey % 7 + 1 else c_custkey % 7 end as int) as mtime
+            from customer where c_nationkey <> 3 and c_custkey % 6 <> 2 union all select concat('s', s_suppkey), s_name, concat('x', s_nationkey), 1 from supplier where s_nationkey > 3""",
+        ("customer", "supplier"),
+    ),
+    "walked": ("select concat('x', n_nationkey) as folder from nation where n_regionkey = 0", ("nation",)),
+    # What was asked of a model, and its answers: a user's events. Some answers are missing, given twice, empty, or to ids nobody asked for.
+    "asked": ("select user_id as call_id, concat('p', row_number() over (partition by user_id order by ts, event_id)) as id from events", ("events",)),
+    "answers": (
+        """select call_id, case when k % 53 = 0 then 'p0' else concat('p', case when event_type = 'view' and k % 3 = 0 then n - 1 else n end) end as id, 'Clause' as label, event_type as type_key, cast(null as string) as sub_type, case when k % 37 = 0 then cast(1.4 as double) else cast(k as double) / 100 end as confidence, case when k % 17 = 0 then ' ' when k % 19 = 0 then null else event_type end as reason
+        from (select user_id as call_id, row_number() over (partition by user_id order by ts, event_id) as n, event_type, cast(floor(value) as int) % 100 as k from events) e where event_type <> 'error'""",
+        ("events",),
+    ),
 }
 
 
