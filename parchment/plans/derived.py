@@ -13,11 +13,14 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     # The line items of a customer as the paragraphs of a document: headings, typed numbers of all forms, references and plain text.
     "lines": (
         """select doc, ord, case when form = 0 then c - 1 end as heading, band,
-            case form when 0 then 'Heading' when 1 then concat(a, '. item') when 2 then concat(a, '.', b, ' item') when 3 then concat(a, '.', b, '.', c, ' item') when 4 then concat('(', chr(cast(96 + letter as int)), ') item')
-                when 5 then concat('(', case a when 1 then 'i' when 2 then 'ii' when 3 then 'iii' else 'iv' end, ') item') when 6 then concat(chr(cast(64 + a as int)), '. item:') when 7 then concat('Section ', a, ': item') when 8 then concat(a, ') of, the item') else 'item' end as text
+            case form when 0 then case band2 when 0 then 'Exhibit A' when 1 then 'SIGNATURES' when 2 then 'Terms and Definitions' when 3 then 'Payment: what is due' else 'Heading' end
+                when 1 then concat(a, '. ', said) when 2 then concat(a, '.', b, ' ', said) when 3 then concat(a, '.', b, '.', c, ' ', said) when 4 then concat('(', chr(cast(96 + letter as int)), ') ', said)
+                when 5 then concat('(', case a when 1 then 'i' when 2 then 'ii' when 3 then 'iii' else 'iv' end, ') ', said) when 6 then concat(chr(cast(64 + a as int)), '. ', said) when 7 then concat('Section ', a, ': ', said) when 8 then concat(a, ') of, the item') else said end as text
+        from (select *, case band2 when 0 then 'item' when 1 then 'Goods And Services' when 2 then 'see Annex 1 for the terms of this item and for what follows from it in all of these cases' when 3 then 'PRICES FIXED, see below. And more' when 4 then 'Print Name ______ Date ______'
+            when 5 then 'In witness  whereof they sign' when 6 then 'Delivery Terms: within days' when 7 then 'the price of the goods that follow:' else 'a sentence that is longer than all that a trail holds of it, and ends. Then more' end as said
         from (select o_custkey as doc, cast(row_number() over (partition by o_custkey order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) as bigint) as ord, cast((l_partkey + l_suppkey) % 10 as int) as form,
-            cast(l_quantity as int) % 4 + 1 as a, l_linenumber as b, cast(l_suppkey % 3 + 1 as int) as c, cast(l_partkey % 3 as int) as band, case when l_suppkey % 3 = 0 then 1 else cast(l_quantity as int) % 26 + 1 end as letter
-            from lineitem join orders on l_orderkey = o_orderkey) x""",
+            cast(l_quantity as int) % 4 + 1 as a, l_linenumber as b, cast(l_suppkey % 3 + 1 as int) as c, cast(l_partkey % 3 as int) as band, cast(l_partkey % 9 as int) as band2, case when l_suppkey % 3 = 0 then 1 else cast(l_quantity as int) % 26 + 1 end as letter
+            from lineitem join orders on l_orderkey = o_orderkey) w) x""",
         ("lineitem", "orders"),
     ),
     # The line items of an order as the items of a run: the model's answer, the text, the review. Some break a constraint.
@@ -68,11 +71,20 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
         from (select user_id as call_id, row_number() over (partition by user_id order by ts, event_id) as n, event_type, cast(floor(value) as int) % 100 as k from events) e where event_type <> 'error'""",
         ("events",),
     ),
+    # Single values for scalar functions, in the column v.
+    "chunk_ids": ("select concat('chunk_', l_orderkey, '.', l_linenumber, case l_partkey % 4 when 0 then '_micro' when 1 then '_macro' when 2 then '_a_b' else '_' end) as v from lineitem", ("lineitem",)),
+    "trails": ("select concat(r_name, ' > ', n_name, case when c_custkey % 3 = 0 then '' else concat(' > ', c_name) end, case when c_custkey % 7 = 0 then ' > ' else '' end) as v from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey", ("customer", "nation", "region")),
+    "answered": ("select case user_id % 4 when 0 then concat('```json ', props, ' ```') when 1 then props when 2 then event_type else concat('so {', chr(10), '\"all\": ', props, '} and {more}. Done') end as v from events", ("events",)),
+    "params": ("select case user_id % 9 when 0 then concat(' ', event_id % 300, ' ') when 1 then concat('-', event_id % 9) when 2 then '' when 3 then case event_type when 'view' then 'TRUE' when 'click' then ' no ' when 'error' then '0' when 'signup' then 'Yes' else 'maybe' end when 4 then concat('[\"', event_type, '\",\"', event_id, '\"]') when 5 then event_type when 6 then concat(event_id, '.5') else cast(event_id % 300 as string) end as v from events", ("events",)),
+    "ids": ("select case c_custkey % 4 when 0 then h when 1 then upper(h) when 2 then substr(h, 1, 30) else concat(h, '0') end as v from (select c_custkey, concat(substr(md5(c_name), 1, 8), '-', substr(md5(c_name), 9, 4), '-', substr(md5(c_name), 13, 4), '-', substr(md5(c_name), 17, 4), '-', substr(md5(c_name), 21, 12)) as h from customer) c", ("customer",)),
+    "times": ("select concat(substr(cast(o_orderdate as string), 1, 10), case o_orderkey % 5 when 0 then 'T03:04:05+02:00' when 1 then 'T03:04:05' when 2 then 'T23:59:59.250Z' when 3 then '' else 'T00:00:00-11:30' end) as v from orders", ("orders",)),
+    "names": ("select case page_id % 4 when 0 then url when 1 then concat(' ', upper(url), '.docx') when 2 then '???.docx' else concat('Terms of ', page_id, ' (v2)/final.docx') end as v from pages", ("pages",)),
 }
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, needs = TABLES[name]
+    text = text.replace("{", "{{").replace("}", "}}")  # braces name the frames below
     return spark.sql(f"with {', '.join(f'{n} as (select * from {{{n}}})' for n in needs)} select * from ({text}) t", **{n: load(spark, sf_dir, n) for n in needs})
 
 

@@ -1,4 +1,4 @@
-"""Typed numbers, clause trees and chunks by their exact rules, on written-out rows, and scalar functions."""
+"""Number formats and scalar functions by their exact rules, on values of the supplied tables, and a few joins."""
 
 from __future__ import annotations
 
@@ -6,122 +6,37 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import tree
-from .fixtures import fixture, tables_sql
+from ..sources.tables import load
+from .derived import derived, derived_sql
 from .registry import query
 
-_LINES = """('1.2 Scope'),('1.2.3. Deep'),('22.4 and 22.5 apply'),('Section 4(a): Fees'),('ARTICLE IV - Term'),('7) seven'),('12. of them'),('(a) letter'),('(i) which'),('(iv) roman'),('(12) twelve'),
-    ('II. Roman'),('xx) many'),('IIV. none'),('B. Letter'),('I. Who'),('v) five'),('no number'),('2020 year'),('  3. indented'),('1.1"quoted"'),('')"""
+def _letters_sql(n: str) -> str:
+    return " || ".join(f"case when {n} >= {(26**k - 1) // 25} then chr(cast(97 + (({n} - {(26**k - 1) // 25}) // {26 ** (k - 1)}) % 26 as integer)) else '' end" for k in range(6, 0, -1))
 
 
-@query(f"""with l as (select * from (values {_LINES}) t(line)), k as (select line, case
-        when regexp_matches(line, '^\\s*\\d+(\\.\\d+)+\\.?(\\s+|["(])') then 'dotted' when regexp_matches(line, '^\\s*(SECTION|Section|ARTICLE|Article|CLAUSE|Clause)\\s+([0-9]|[IVXLC])') then 'section'
-        when regexp_matches(line, '^\\s*\\d{{1,3}}[.)]\\s+') then 'num_dot' when regexp_matches(line, '^\\s*\\(([A-Za-z]{{1,4}}|\\d{{1,3}})\\)') then 'paren'
-        when regexp_matches(line, '^\\s*([IVX]{{2,6}}|[ivx]{{2,6}})[.)]\\s') and regexp_matches(lower(line), '^\\s*x{{0,3}}(ix|iv|v?i{{0,3}})[.)]') then 'roman_dot' when regexp_matches(line, '^\\s*[A-Za-z][.)]\\s') then 'alpha_dot' end kind from l),
-    t as (select line, kind, case kind when 'dotted' then regexp_extract(line, '(\\d+(\\.\\d+)+)', 1) when 'section' then regexp_extract(line, '^\\s*\\w+\\s+([0-9.]*[0-9](\\(\\w+\\))?|[IVXLC]+)', 1) when 'paren' then regexp_extract(line, '\\((\\w+)\\)', 1) else regexp_extract(line, '^\\s*(\\w+)', 1) end token from k where kind is not null)
-    select line, kind, token, case when kind in ('dotted', 'section') then kind when regexp_matches(token, '^\\d+$') then 'decimal' when lower(token) in ('i', 'v', 'x') then 'ambiguous' when regexp_matches(lower(token), '^x{{0,3}}(ix|iv|v?i{{0,3}})$') then 'roman' else 'alpha' end cls,
-        case kind when 'dotted' then len(string_split(token, '.')) when 'section' then 1 end as depth, case when kind = 'paren' then 'paren' when substr(trim(line), length(token) + 1, 1) = ')' then 'rparen' else 'dot' end delim
-    from t where not regexp_matches(line, '^\\s*[\\d.]+ (and|or|of) ')""")
-def p13_typed_number_forms(spark, sf_dir):
-    """The number that a line starts with: six forms, without wrapped references."""
-    rows = spark.sql(f"select * from values {_LINES} as t(line)")
-    return rows.withColumn("n", numbers.typed_number(F.col("line"))).filter("n is not null").select("line", "n.*")
-
-
-@query("""with n as (select unnest([0, 1, 4, 9, 26, 27, 40, 52, 53, 99, 444, 702, 703, 1994, 3999]) n), f as (select unnest(['decimal', 'decimalZero', 'lowerLetter', 'upperLetter', 'lowerRoman', 'upperRoman', 'none', 'other']) form),
-    x as (select n, form, case when n > 702 then chr(96 + cast((n - 703) // 676 + 1 as integer)) else '' end || case when n > 26 then chr(97 + cast(((n - 27) // 26) % 26 as integer)) else '' end || case when n > 0 then chr(97 + cast((n - 1) % 26 as integer)) else '' end l,
-        ['', 'm', 'mm', 'mmm'][n // 1000 + 1] || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][(n // 100) % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][(n // 10) % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1] r from n, f)
-    select n, form, case form when 'decimalZero' then case when n < 100 then lpad(n::varchar, 2, '0') else n::varchar end when 'lowerLetter' then l when 'upperLetter' then upper(l) when 'lowerRoman' then r when 'upperRoman' then upper(r) when 'none' then '' else n::varchar end shown from x where n < 100 or form <> 'decimalZero'""")
+@query(f"""with x as (select o_orderkey - 1 n, case o_orderpriority when '1-URGENT' then 'decimalZero' when '2-HIGH' then 'lowerLetter' when '3-MEDIUM' then 'upperLetter' when '5-LOW' then 'lowerRoman' else case o_orderstatus when 'F' then 'upperRoman' when 'O' then 'none' else 'other' end end form from orders),
+    y as (select *, {_letters_sql('n')} l, case when n > 0 then repeat('m', cast(n // 1000 as integer)) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][(n // 100) % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][(n // 10) % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1] else '' end r from x)
+    select n, form, case form when 'decimalZero' then case when n between 0 and 9 then '0' || n else n::varchar end when 'lowerLetter' then l when 'upperLetter' then upper(l) when 'lowerRoman' then r when 'upperRoman' then upper(r) when 'none' then '' else n::varchar end shown from y""")
 def p17_number_formats(spark, sf_dir):
-    """Counters in the number formats of a word processor."""
-    rows = spark.sql("select n, form from (select explode(array(0, 1, 4, 9, 26, 27, 40, 52, 53, 99, 444, 702, 703, 1994, 3999)) n) lateral view explode(array('decimal', 'decimalZero', 'lowerLetter', 'upperLetter', 'lowerRoman', 'upperRoman', 'none', 'other')) f as form")
-    return rows.filter("n < 100 or form <> 'decimalZero'").withColumn("shown", numbers.formatted(F.col("n"), F.col("form")))
-
-
-_TREE = tables_sql("clauses") + ", up as (select run_id, clause_id, parent_id anc, 1 d, clause_id path from clauses union all select u.run_id, u.clause_id, c.parent_id, u.d + 1, c.clause_id || '/' || u.path from up u join clauses c on c.run_id = u.run_id and c.clause_id = u.anc), w as (select run_id, clause_id, max(d) as level, max_by(path, d) as path from up group by 1, 2)"
-
-
-@query(_TREE + """ select c.run_id, c.clause_id, cast(w.level as integer) as level, w.path, (select count(*) from clauses k where k.run_id = c.run_id and k.parent_id = c.clause_id) child_count, (select count(*) from up u where u.run_id = c.run_id and u.anc = c.clause_id) descendant_count,
-    cast(row_number() over (partition by c.run_id, parent_id order by ord) as integer) sibling_index, count(*) over (partition by c.run_id, parent_id) sibling_count, cast(row_number() over (partition by c.run_id order by ord) as integer) dfs_index,
-    cast(row_number() over (partition by c.run_id order by w.level, ord) as integer) bfs_index from clauses c join w using (run_id, clause_id)""")
-def p27_relations(spark, sf_dir):
-    """Levels, paths, counts and orders of each clause of the trees."""
-    return tree.related(fixture(spark, "clauses")).select("run_id", "clause_id", "level", "path", "child_count", "descendant_count", "sibling_index", "sibling_count", "dfs_index", "bfs_index")
-
-
-@query(_TREE + " select run_id, clause_id, anc ancestor_id, d as distance from up where anc is not null")
-def j19_ancestor_chains(spark, sf_dir):
-    """Every ancestor of each clause."""
-    return tree.ancestors(fixture(spark, "clauses"))
-
-
-@query(tables_sql("clauses") + " select p.run_id, p.clause_id, string_agg(c.clause_id, ',' order by c.ord) children from clauses p join clauses c on c.run_id = p.run_id and c.parent_id = p.clause_id group by 1, 2")
-def c1_children_in_order(spark, sf_dir):
-    """The children of each clause, in reading order."""
-    rows = fixture(spark, "clauses").filter("parent_id is not null")
-    return rows.groupBy("run_id", F.col("parent_id").alias("clause_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "clause_id"))), lambda x: x["clause_id"]), ",").alias("children"))
-
-
-@query(tables_sql("clauses") + " select p.run_id, p.clause_id lead, string_agg(c.clause_id, ',' order by c.ord) bonded from clauses p join clauses c on c.run_id = p.run_id and c.parent_id = p.clause_id where rtrim(p.text) like '%:' group by 1, 2")
-def p26_lead_ins(spark, sf_dir):
-    """Clauses whose text ends with a colon, and the children bonded to them."""
-    rows = fixture(spark, "clauses")
-    leads = rows.filter(F.rtrim("text").endswith(":")).select("run_id", F.col("clause_id").alias("parent_id"))
-    bonded = rows.join(leads, ["run_id", "parent_id"]).groupBy("run_id", F.col("parent_id").alias("lead")).agg(F.sort_array(F.collect_list(F.struct("ord", "clause_id"))).alias("b"))
-    return bonded.select("run_id", "lead", F.array_join("b.clause_id", ",").alias("bonded"))
-
-
-@query(tables_sql("clauses") + """, s as (select c.*, p.depth pd, try_cast(regexp_extract(c.number, '([0-9]+)[^0-9]*$', 1) as integer) tail from clauses c left join clauses p on p.run_id = c.run_id and p.clause_id = c.parent_id),
-    g as (select *, last_value(tail ignore nulls) over (partition by run_id, parent_id order by ord rows between unbounded preceding and 1 preceding) before from s)
-    select run_id, clause_id, concat_ws(',', case when conflict then 'conflict' end, case when confidence < 0.75 and source not in ('inferred', 'heading') then 'low_confidence' end, case when inferred then 'inferred_parent' when by_format then 'heading_by_format' when title = '' and text = '' then 'empty_text' end,
-        case when adjusted then 'depth_adjusted' end, case when depth > coalesce(pd, 0) + 1 then 'depth_jump' end, case when tail > before + 1 then 'sequence_gap' end) flags from g""")
-def p29_clause_flags(spark, sf_dir):
-    """What each clause should be looked at for."""
-    return tree.flags(fixture(spark, "clauses"))
-
-
-@query(_TREE + """, o as (select *, concat_ws(chr(10), nullif(title, ''), nullif(text, '')) own from clauses), n as (select run_id, anc clause_id, clause_id part from up where anc is not null union all select distinct run_id, anc, anc from up where anc is not null),
-    m as (select n.run_id, n.clause_id, 'macro' kind, string_agg(o.own, chr(10) order by o.ord) filter (o.own <> '') as text, coalesce(array_to_string(list_sort(list_distinct(list(o.para) filter (o.para is not null))), ','), '') paragraphs from n join o on o.run_id = n.run_id and o.clause_id = n.part group by 1, 2),
-    a as (select * from m union all select run_id, clause_id, 'micro', own, coalesce(para::varchar, '') from o where text <> '' or not exists (select 1 from m where m.run_id = o.run_id and m.clause_id = o.clause_id))
-    select a.run_id, a.clause_id, kind, a.text, paragraphs, cast(row_number() over (partition by a.run_id order by c.ord, kind) as integer) as at_ from a join clauses c using (run_id, clause_id)""")
-def c11_tree_chunks(spark, sf_dir):
-    """Macro and micro chunks of the clause trees, in order of emission."""
-    return tree.chunks(fixture(spark, "clauses")).withColumnRenamed("at", "at_")
-
-
-@query(tables_sql("clauses") + " select run_id, depth, source, count(*) n from clauses group by all")
-def a23_clauses_by_level(spark, sf_dir):
-    """Clauses by level and source of numbering."""
-    return fixture(spark, "clauses").groupBy("run_id", "depth", "source").agg(F.count("*").alias("n"))
-
-
-@query(tables_sql("clauses") + " select c.run_id, c.clause_id, p.ord parent_ord from clauses c left join clauses p on p.run_id = c.run_id and p.clause_id = c.parent_id")
-def j5_parent_rows(spark, sf_dir):
-    """Each clause with its parent's row; roots have none."""
-    rows = fixture(spark, "clauses")
-    return rows.join(rows.select("run_id", F.col("clause_id").alias("parent_id"), F.col("ord").alias("parent_ord")), ["run_id", "parent_id"], "left").select("run_id", "clause_id", "parent_ord")
-
-
-_WORDS = "('chunk_1.2_micro'),('chunk_A_macro'),('chunk__x'),('A > B > C'),(' 1 '),('TRUE'),('no'),('maybe'),('[\"a\",\"b\"]'),('solo'),(''),('12'),('-3'),('250'),('2024-01-02T03:04:05+02:00'),('2024-01-02T03:04:05'),('5f1c2d3e-aaaa-4bbb-8ccc-0123456789ab'),('5f1c2d3e'),('Master Agreement (v2)/final.docx'),('???.docx'),('```json x {\"a\": {\"b\": 1}} y ```')"
-_V = f"with v as (select * from (values {_WORDS}) t(v))"
-
-
-def _values(spark):
-    return spark.sql(f"select * from values {_WORDS} as t(v)")
+    """Order numbers in the number formats of a word processor."""
+    low = F.when(F.col("o_orderstatus") == "F", "upperRoman").when(F.col("o_orderstatus") == "O", "none").otherwise("other")
+    form = F.when(F.col("o_orderpriority") == "1-URGENT", "decimalZero").when(F.col("o_orderpriority") == "2-HIGH", "lowerLetter").when(F.col("o_orderpriority") == "3-MEDIUM", "upperLetter").when(F.col("o_orderpriority") == "5-LOW", "lowerRoman").otherwise(low)
+    rows = load(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").select((F.col("o_orderkey") - 1).alias("n"), form.alias("form"))
+    return rows.withColumn("shown", numbers.formatted(F.col("n"), F.col("form")))
 
 
-@query(_V + r" select v, nullif(regexp_extract(v, '^chunk_(.+)_([a-z]+)$', 1), '') id, nullif(regexp_extract(v, '^chunk_(.+)_([a-z]+)$', 2), '') kind from v")
+@query(derived_sql("chunk_ids") + ", v as (select distinct v from chunk_ids)" + r" select v, nullif(regexp_extract(v, '^chunk_(.+)_([a-z]+)$', 1), '') id, nullif(regexp_extract(v, '^chunk_(.+)_([a-z]+)$', 2), '') kind from v")
 def x9_local_ids(spark, sf_dir):
     """The clause id and kind of a chunk's local id."""
     part = lambda k: F.nullif(F.regexp_extract("v", r"^chunk_(.+)_([a-z]+)$", k), F.lit(""))
-    return _values(spark).select("v", part(1).alias("id"), part(2).alias("kind"))
+    return derived(spark, sf_dir, "chunk_ids").distinct().select("v", part(1).alias("id"), part(2).alias("kind"))
 
 
-@query(_V + " select v, len(string_split(v, ' > ')) crumbs, string_split(v, ' > ')[-1] last from v")
+@query(derived_sql("trails") + ", v as (select distinct v from trails)" + " select v, len(string_split(v, ' > ')) crumbs, string_split(v, ' > ')[-1] last from v")
 def x10_breadcrumbs(spark, sf_dir):
     """Parts of a breadcrumb."""
     parts = F.split("v", " > ")
-    return _values(spark).select("v", F.size(parts).cast("long").alias("crumbs"), F.element_at(parts, -1).alias("last"))
+    return derived(spark, sf_dir, "trails").distinct().select("v", F.size(parts).cast("long").alias("crumbs"), F.element_at(parts, -1).alias("last"))
 
 
 @query("select doc_id, length(coalesce(text, '')) chars, len(regexp_extract_all(coalesce(text, ''), '\\S+')) words from documents")
@@ -131,75 +46,75 @@ def x12_word_and_char_counts(spark, sf_dir):
     return rows.select("doc_id", F.length("t").cast("long").alias("chars"), F.size(F.regexp_extract_all("t", F.lit(r"\S+"), F.lit(0))).cast("long").alias("words"))
 
 
-@query(_V + r" select v, case when contains(v, '{') then regexp_extract(v, '(?s)(\{.*\})', 1) end json from v")
+@query(derived_sql("answered") + ", v as (select distinct v from answered)" + r" select v, case when contains(v, '{') then regexp_extract(v, '(?s)(\{.*\})', 1) end json from v")
 def x13_outermost_json(spark, sf_dir):
     """The outermost JSON object of an answer, without a fence around it."""
-    return _values(spark).select("v", F.when(F.contains("v", F.lit("{")), F.regexp_extract("v", r"(?s)(\{.*\})", 1)).alias("json"))
+    return derived(spark, sf_dir, "answered").distinct().select("v", F.when(F.contains("v", F.lit("{")), F.regexp_extract("v", r"(?s)(\{.*\})", 1)).alias("json"))
 
 
-@query(_V + " select v, case when lower(trim(v)) in ('1', 'true', 'yes') then true when lower(trim(v)) in ('0', 'false', 'no') then false end b from v")
+@query(derived_sql("params") + ", v as (select distinct v from params)" + " select v, case when lower(trim(v)) in ('1', 'true', 'yes') then true when lower(trim(v)) in ('0', 'false', 'no') then false end b from v")
 def x35_bool_params(spark, sf_dir):
     """1/true/yes, 0/false/no, else null."""
     low = F.lower(F.trim("v"))
-    return _values(spark).select("v", F.when(low.isin("1", "true", "yes"), True).when(low.isin("0", "false", "no"), False).alias("b"))
+    return derived(spark, sf_dir, "params").distinct().select("v", F.when(low.isin("1", "true", "yes"), True).when(low.isin("0", "false", "no"), False).alias("b"))
 
 
-@query(_V + " select v, regexp_matches(v, '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') ok from v")
+@query(derived_sql("ids") + ", v as (select distinct v from ids)" + " select v, regexp_matches(v, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') ok from v")
 def x34_uuids(spark, sf_dir):
     """Whether a value is a UUID."""
-    return _values(spark).select("v", F.rlike("v", F.lit("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")).alias("ok"))
+    return derived(spark, sf_dir, "ids").distinct().select("v", F.rlike("v", F.lit("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")).alias("ok"))
 
 
-@query(_V + " select v, case when try_cast(trim(v) as bigint) is null then case when v = '' then 50 end when try_cast(trim(v) as bigint) < 0 then null else least(try_cast(trim(v) as bigint), 200) end n from v where not regexp_matches(v, '[.T]')")
+@query(derived_sql("params") + ", v as (select distinct v from params)" + " select v, case when v = '' then 50 when regexp_matches(v, '^ *([0-9]+|-0+) *$') then least(cast(trim(v) as bigint), 200) end n from v")
 def f3_integer_params(spark, sf_dir):
     """A limit: 50 if blank, at most 200, null (an error) if negative or no number."""
     n = F.expr("try_cast(trim(v) as bigint)")
-    return _values(spark).filter("not v rlike '[.T]'").select("v", F.when(F.col("v") == "", 50).when(n >= 0, F.least(n, F.lit(200))).cast("long").alias("n"))
+    return derived(spark, sf_dir, "params").distinct().select("v", F.when(F.col("v") == "", 50).when(n >= 0, F.least(n, F.lit(200))).cast("long").alias("n"))
 
 
-@query(_V + " select v, case when starts_with(v, '[') then len(from_json(v, '[\"VARCHAR\"]')) when v = '' then 0 else 1 end n from v")
+@query(derived_sql("params") + ", v as (select distinct v from params)" + " select v, case when starts_with(v, '[') then len(from_json(v, '[\"VARCHAR\"]')) when v = '' then 0 else 1 end n from v")
 def x36_lists(spark, sf_dir):
     """Entries of a delimited parameter: a JSON array, else a single value."""
-    rows = _values(spark).withColumn("list", F.when(F.startswith("v", F.lit("[")), F.from_json("v", "array<string>")).when(F.col("v") == "", F.expr("cast(array() as array<string>)")).otherwise(F.array("v")))
+    rows = derived(spark, sf_dir, "params").distinct().withColumn("list", F.when(F.startswith("v", F.lit("[")), F.from_json("v", "array<string>")).when(F.col("v") == "", F.expr("cast(array() as array<string>)")).otherwise(F.array("v")))
     return rows.select("v", F.size("list").cast("long").alias("n"))
 
 
-@query(_V + " select v, case when regexp_matches(v, '[+-][0-9]{2}:[0-9]{2}$') then epoch_ms(v::timestamptz) when regexp_matches(v, 'T') and v like '20%' then epoch_ms(v::timestamp) end ms from v")
+@query(derived_sql("times") + ", v as (select distinct v from times)" + " select v, case when regexp_matches(v, '([+-][0-9]{2}:[0-9]{2}|Z)$') then epoch_ms(try_cast(v as timestamptz)) when regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T') then epoch_ms(try_cast(v as timestamp)) end ms from v")
 def x24_iso_times(spark, sf_dir):
     """ISO-8601 times in milliseconds; without a zone they are UTC."""
     zoned = F.when(F.rlike("v", F.lit("([+-][0-9]{2}:[0-9]{2}|Z)$")), F.col("v")).otherwise(F.concat("v", F.lit("Z")))
-    return _values(spark).select("v", F.when(F.rlike("v", F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}T")), F.unix_millis(F.try_to_timestamp(zoned))).alias("ms"))
+    return derived(spark, sf_dir, "times").distinct().select("v", F.when(F.rlike("v", F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}T")), F.unix_millis(F.try_to_timestamp(zoned))).alias("ms"))
 
 
-@query(_V + r", s as (select v, left(regexp_replace(regexp_replace(v, '[^A-Za-z0-9._ -]+', '_', 'g'), '\.docx$', ''), 40) s from v) select v, coalesce(nullif(trim(s, ' ._'), ''), 'document') || '__' || left(md5(v), 8) dir from s")
+@query(derived_sql("names") + ", v as (select distinct v from names)" + r", s as (select v, left(regexp_replace(regexp_replace(v, '[^A-Za-z0-9._ -]+', '_', 'g'), '\.docx$', ''), 40) s from v) select v, coalesce(nullif(trim(s, ' ._'), ''), 'document') || '__' || left(md5(v), 8) dir from s")
 def k10_export_dirs(spark, sf_dir):
     """A document's export folder: its name with other signs as `_`, without .docx, 40 characters at most, then eight of its id."""
     # Fixed value: the characters that a folder's name keeps.
     clean = F.regexp_replace(F.regexp_replace("v", r"[^A-Za-z0-9._ \-]+", "_"), r"\.docx$", "")
     stem = F.btrim(F.substring(clean, 1, 40), F.lit(" ._"))
-    return _values(spark).select("v", F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.lit("document")), F.lit("__"), F.substring(F.md5("v"), 1, 8)).alias("dir"))
+    return derived(spark, sf_dir, "names").distinct().select("v", F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.lit("document")), F.lit("__"), F.substring(F.md5("v"), 1, 8)).alias("dir"))
 
 
-@query(_V + ", n as (select v, lower(trim(v)) k from v) select k, min(v) v from n where k <> '' group by 1")
+@query(derived_sql("names") + ", v as (select distinct v from names)" + ", n as (select v, lower(trim(v)) k from v) select k, min(v) v from n where k <> '' group by 1")
 def f34_queue_by_name(spark, sf_dir):
     """One entry for each lower-cased trimmed name."""
-    return _values(spark).withColumn("k", F.lower(F.trim("v"))).filter("k <> ''").groupBy("k").agg(F.min("v").alias("v"))
+    return derived(spark, sf_dir, "names").distinct().withColumn("k", F.lower(F.trim("v"))).filter("k <> ''").groupBy("k").agg(F.min("v").alias("v"))
 
 
-@query("select user_id, event_type, cast(ts as date) as day, count(*) n, rank from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rank from events) where rank <= 3 group by all")
+@query("select user_id, event_id, event_type, cast(ts as date) as day, rank from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rank from events) where rank <= 3")
 def o9_latest_events(spark, sf_dir):
     """The last three events of each user."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "event_id")
     order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("user_id", "event_type", F.to_date("ts").alias("day"), F.lit(1).cast("long").alias("n"), "rank")
+    return rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("user_id", "event_id", "event_type", F.to_date("ts").alias("day"), "rank")
 
 
-@query("select c_mktsegment, array_to_string(list_sort(list_distinct(list(n_name))), ',') names from customer join nation on c_nationkey = n_nationkey group by 1")
+@query("select c_mktsegment, string_agg(n_name, ',' order by seen) names from (select c_mktsegment, n_name, min(c_custkey) seen from customer join nation on c_nationkey = n_nationkey group by 1, 2) group by 1")
 def u8_distinct_in_order(spark, sf_dir):
-    """Distinct names of each segment, sorted."""
-    a, b = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment", "c_nationkey"), spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
-    pairs = a.distinct().join(b, F.col("c_nationkey") == F.col("n_nationkey"))
-    return pairs.groupBy("c_mktsegment").agg(F.array_join(F.sort_array(F.collect_set("n_name")), ",").alias("names"))
+    """Distinct nations of each segment, in the order in which customers name them first."""
+    a, b = load(spark, sf_dir, "customer", "c_mktsegment", "c_nationkey", "c_custkey"), load(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    seen = a.groupBy("c_mktsegment", "c_nationkey").agg(F.min("c_custkey").alias("seen")).join(b, F.col("c_nationkey") == F.col("n_nationkey"))
+    return seen.groupBy("c_mktsegment").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seen", "n_name"))), lambda x: x["n_name"]), ",").alias("names"))
 
 
 @query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
