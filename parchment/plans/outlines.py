@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import titles
 from ..functions.numbers import typed_number
-from ..operators import clauses, outline
+from ..operators import batching, clauses, outline
 from ..sources.shared import cut
 from ..sources.tables import load
 from .derived import derived, derived_sql
@@ -219,3 +219,34 @@ def p20_line_words(spark, sf_dir):
     rows = split.union(derived(spark, sf_dir, "lines").select("doc", "ord", "text"))
     line = F.col("line")
     return rows.select("doc_id", "n", titles.colon_title(line).alias("title"), titles.heading_only(line).alias("heading"), titles.form_line(line).alias("form"))
+
+
+#: Limits of a batch in the query below.
+_TOKENS, _ITEMS = 400, 6
+_TOK = "greatest(1, length(coalesce({0}, '')) // 4)"
+
+
+@query(_CHUNKS + f""", it as (select m.doc, coalesce(p.parent::varchar, 'root:' || p.start) section, m.place as t, {_TOK.format('m.text')} + {_TOK.format('p.lead_in')} + {_TOK.format('p.breadcrumb')} + {_TOK.format('p.title')} + 12 cost,
+        {_TOK.format('q.breadcrumb')} + {_TOK.format("array_to_string(list_filter(string_split_regex(coalesce(q.own, ''), '\\s+'), lambda w: w <> '')[1:15], ' ')")} + 8 overhead
+        from made m join placed p using (doc, start) left join placed q on q.doc = p.doc and q.start = p.parent where m.kind = 'micro'),
+    se as (select doc, section, count(*) n, sum(cost) + max(overhead) total, min(t) first_t from it group by 1, 2),
+    o as (select it.*, n, total, row_number() over (partition by doc order by first_t, t) k from it join se using (doc, section)),
+    f as (select doc, 0::bigint k, -1::bigint piece, null::varchar section, 0::bigint cnt, 0::bigint used from (select distinct doc from o)
+        union all select doc, k, piece + new::bigint, section, case when new then 1 else cnt + 1 end, case when new then overhead + cost else used + cost end
+        from (select o.doc, o.k, f.piece, o.section, f.cnt, f.used, o.cost, o.overhead, f.section is distinct from o.section or ((n > {_ITEMS} or total > {_TOKENS}) and (f.cnt >= {_ITEMS} or f.used + o.cost > {_TOKENS})) new from f join o on o.doc = f.doc and o.k = f.k + 1)),
+    pc as (select o.doc, f.piece, count(*) size, sum(cost) + max(overhead) al from o join f using (doc, k) group by 1, 2),
+    b as (select doc, -1::bigint piece, -1::bigint batch, 0::bigint cnt, 0::bigint used from (select distinct doc from o)
+        union all select doc, piece, batch + new::bigint, case when new then size else cnt + size end, case when new then al else used + al end
+        from (select pc.doc, pc.piece, b.batch, b.cnt, b.used, pc.size, pc.al, b.batch < 0 or b.cnt + pc.size > {_ITEMS} or b.used + pc.al > {_TOKENS} new from b join pc on pc.doc = b.doc and pc.piece = b.piece + 1))
+    select o.doc, o.section, o.t place, cost, overhead, f.piece, b.batch, 'p' || row_number() over (partition by o.doc, b.batch order by f.piece, o.t) as local, row_number() over (partition by o.doc, b.batch order by f.piece, o.t) > count(*) over (partition by o.doc, b.batch) // 2 second_half
+    from o join f using (doc, k) join b on b.doc = o.doc and b.piece = f.piece""")
+def m5_section_batches(spark, sf_dir):
+    """The micro chunks of each document by the section of their parent, planned into requests."""
+    placed = cut(clauses.placed(_clauses(spark, sf_dir)))
+    parents = placed.select("doc", F.col("start").alias("parent"), batching.section_cost(F.col("breadcrumb"), batching.preview(F.col("own"))).alias("overhead"))
+    micros = clauses.chunks(placed).filter(F.col("kind") == clauses.MICRO).select("doc", "start", F.col("place").alias("at"), "text")
+    rows = micros.join(placed.select("doc", "start", "parent", "lead_in", "breadcrumb", "title"), ["doc", "start"]).join(parents, ["doc", "parent"], "left")
+    section = F.coalesce(F.col("parent").cast("string"), F.concat(F.lit("root:"), "start"))
+    cost = batching.paragraph_cost(F.col("text"), F.col("lead_in"), F.col("breadcrumb"), F.col("title"))
+    items = rows.select("doc", section.alias("section"), "at", cost.alias("cost"), F.coalesce("overhead", batching.section_cost(F.lit(None), F.lit(None))).alias("overhead"))
+    return batching.plan(items, _TOKENS, _ITEMS).withColumnRenamed("at", "place")
