@@ -79,6 +79,27 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "ids": ("select case c_custkey % 4 when 0 then h when 1 then upper(h) when 2 then substr(h, 1, 30) else concat(h, '0') end as v from (select c_custkey, concat(substr(md5(c_name), 1, 8), '-', substr(md5(c_name), 9, 4), '-', substr(md5(c_name), 13, 4), '-', substr(md5(c_name), 17, 4), '-', substr(md5(c_name), 21, 12)) as h from customer) c", ("customer",)),
     "times": ("select concat(substr(cast(o_orderdate as string), 1, 10), case o_orderkey % 5 when 0 then 'T03:04:05+02:00' when 1 then 'T03:04:05' when 2 then 'T23:59:59.250Z' when 3 then '' else 'T00:00:00-11:30' end) as v from orders", ("orders",)),
     "names": ("select case page_id % 4 when 0 then url when 1 then concat(' ', upper(url), '.docx') when 2 then '???.docx' else concat('Terms of ', page_id, ' (v2)/final.docx') end as v from pages", ("pages",)),
+    # A paragraph for each line item, which may hold up to three clauses.
+    "paragraphs": (
+        """select l_orderkey as doc, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as int) as ord, concat(
+            case l_suppkey % 4 when 0 then '' when 1 then 'Short' when 2 then 'The supplier shall deliver the goods that are described above' else 'Each party keeps "Secret Things" to itself' end, case l_partkey % 5 when 0 then '. ' when 1 then '; ' when 2 then ' ' when 3 then '.) ' else '.' end,
+            case cast(l_quantity as int) % 6 when 0 then '2.1' when 1 then 'Section 4' when 2 then '2.1.3.' when 3 then 'Clause IV(a).' when 4 then '7.' else '1.10' end, case l_partkey % 7 when 0 then ' Payment Terms. ' when 1 then ' the parties agree. ' when 2 then ' "Business Day" means a day. ' when 3 then ' NOTICES: ' when 4 then ' Fees and Payment Terms. ' when 5 then ' A Very Long Phrase That Has More Than Eight Words Here. ' else ' ' end,
+            case l_suppkey % 3 when 0 then 'It is due within thirty days of the invoice' when 1 then 'So' else 'All of this holds as long as the contract does' end, '. 3.', l_linenumber, ' Delivery. The goods go to the place that the buyer names', case when l_partkey % 2 = 0 then '.' else ', and no further' end) as text from lineitem""",
+        ("lineitem",),
+    ),
+    # Folders (region, nation, customer) and their files (orders; each is also listed in the next customer's folder). A region is listed once more inside of its first nation, so that walks meet a cycle.
+    "folders": (
+        """select concat('r', r_regionkey) as id, cast(null as string) as parent, r_name as name from region union all select concat('n', n_nationkey), concat('r', n_regionkey), n_name from nation union all select concat('c', c_custkey), concat('n', c_nationkey), c_name from customer
+            union all select concat('r', n_regionkey), concat('n', min(n_nationkey)), 'again' from nation group by n_regionkey""",
+        ("region", "nation", "customer"),
+    ),
+    "files": ("select concat('o', o_orderkey) as id, concat('c', o_custkey) as parent, o_totalprice as size from orders union all select concat('o', o_orderkey), concat('c', o_custkey + 1), o_totalprice + 1 from orders where o_orderkey % 3 = 0", ("orders",)),
+    # The state of a user's record after each event: nested JSON whose fields come and go.
+    "states": (
+        """select user_id as doc, cast(row_number() over (partition by user_id order by ts, event_id) as int) as n, concat('{"k": ', cast(floor(value) as int) % 3, case when event_id % 2 = 0 then concat(', "type": "', event_type, '"') else '' end, case when event_id % 3 = 0 then ', "gone": null' else '' end,
+            case when event_id % 5 < 3 then concat(', "at": {"v": ', cast(floor(value) as int) % 2, case when event_id % 4 = 0 then ', "deep": {"x": [1, 2]}' else '' end, '}') else ', "at": 5' end, '}') as state from events""",
+        ("events",),
+    ),
 }
 
 

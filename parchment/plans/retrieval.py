@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import band, tokens
 from ..operators import retrieval as R
+from ..operators.fallback import kept
 from ..sources.tables import load
 from .registry import query
 
@@ -36,7 +37,8 @@ _LISTS = f"""
 
 
 def _vector(spark, sf_dir):
-    return load(spark, sf_dir, "embeddings").filter(F.col("vec_id") == VECTOR).select(F.col("embedding").alias("q"))
+    """One row, though the id be repeated."""
+    return load(spark, sf_dir, "embeddings").filter(F.col("vec_id") == VECTOR).select(F.col("embedding").alias("q")).limit(1)
 
 
 def _lists(spark, sf_dir):
@@ -96,3 +98,58 @@ def a20_top3_average(spark, sf_dir):
     three = lambda rows, *keys: rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))).filter("r <= 3").drop("r")
     best = three(three(salted, "label", "part"), "label")
     return best.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("top3"))
+
+
+@query("""with a as (select vec_id, label, embedding from embeddings), a1 as (select * from a where label = 2 or not exists (select 1 from a where label = 2)), a2 as (select * from a1 where vec_id > 1000000000 or not exists (select 1 from a1 where vec_id > 1000000000)),
+    a3 as (select * from a2 where vec_id % 5 = 1 or not exists (select 1 from a2 where vec_id % 5 = 1)) select vec_id, label from a3""")
+def f6_fallback_filters(spark, sf_dir):
+    """Three filters of a library of which the second would leave nothing, and gives way."""
+    rows = load(spark, sf_dir, "embeddings", "vec_id", "label")
+    return kept(rows, F.col("label") == 2, F.col("vec_id") > 1_000_000_000, F.col("vec_id") % 5 == 1)
+
+
+_SHOWN = f"""with {_BM25}, {_DENSE}, {_LISTS}, hits as (select *, row_number() over (order by rrf desc, id) rank from fused order by rrf desc, id limit 5),
+    long_asked as (select list_distinct(list_filter({_TOK}, lambda x: len(x) > 3)) q from (select '{QUERY}' as text)), m as (select hits.*, d.text, d.lang, d.source from hits join documents d on d.doc_id = hits.id)"""
+
+
+def _hits(spark, sf_dir):
+    """The five best, by rank, with what the library holds of them."""
+    best = R.fuse(*_lists(spark, sf_dir), TOP).orderBy(F.desc("rrf"), "id").limit(5).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rrf"), "id")))
+    return best.join(load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), F.col("id") == F.col("doc_id"))
+
+
+@query(_SHOWN + f""" select cast(rank as integer) rank, id, lang, source, round(dense_score, 4) similarity, round(rrf, 6) rrf, found_by,
+    array_to_string(list_transform(list_sort(list_transform(list_intersect(list_distinct(list_filter({_TOK}, lambda x: len(x) > 3)), q), lambda w: {{'n': -len(w), 'w': w}})), lambda s: s.w)[1:10], ',') shared from m, long_asked""")
+def v8_library_matches(spark, sf_dir):
+    """The five best hits with the words that they share with the query: longest first, then by letters, ten at most (O8)."""
+    long_words = lambda c: F.array_distinct(F.filter(tokens(c), lambda x: F.length(x) > 3))
+    shared = F.array_intersect(long_words(F.col("text")), long_words(F.lit(QUERY)))
+    ordered = F.transform(F.sort_array(F.transform(shared, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
+    return _hits(spark, sf_dir).select("rank", "id", "lang", "source", F.round("dense_score", 4).alias("similarity"), F.round("rrf", 6).alias("rrf"), "found_by", F.array_join(F.slice(ordered, 1, 10), ",").alias("shared"))
+
+
+@query(_SHOWN + """, c as (select lang from m where rank = 1), s as (select round(dense_score, 4) top from m where rank = 1)
+    select c.lang canonical, count(*) filter (d.lang = c.lang) n, round(100.0::double * count(*) filter (d.lang = c.lang) / count(*), 1) pct, count(distinct d.source) filter (d.lang = c.lang) spread, count(distinct d.source) sources, count(*) library, any_value(s.top) top,
+    (select round(avg(round(round(dense_score, 4), 3)), 3) from m where rank <= 3) top3, case when any_value(s.top) >= 0.72 then 'high' when any_value(s.top) >= 0.55 then 'moderate' else 'low' end band from documents d, c, s group by c.lang""")
+def v9_coverage(spark, sf_dir):
+    """How well the whole library, without filters, covers the best hit's kind, and how good the hits are."""
+    hits = _hits(spark, sf_dir)
+    best = hits.agg(F.max(F.when(F.col("rank") == 1, F.col("lang"))).alias("canonical"), F.max(F.when(F.col("rank") == 1, F.round("dense_score", 4))).alias("top"), F.round(F.avg(F.when(F.col("rank") <= 3, F.round(F.round("dense_score", 4), 3))), 3).alias("top3"))
+    mine = F.col("lang") == F.col("canonical")
+    rows = load(spark, sf_dir, "documents", "lang", "source").crossJoin(F.broadcast(best))
+    out = rows.groupBy("canonical", "top", "top3").agg(F.count_if(mine).alias("n"), F.count(F.lit(1)).alias("library"), F.count_distinct(F.when(mine, F.col("source"))).alias("spread"), F.count_distinct("source").alias("sources"))
+    return out.select("canonical", "n", F.round(100.0 * F.col("n") / F.col("library"), 1).alias("pct"), "spread", "sources", "library", "top", "top3", band(F.col("top")).alias("band"))
+
+
+@query(_SHOWN + " select 'lang' kind, coalesce(nullif(lang, ''), 'Unspecified') as name, count(*) n from m group by all union all select 'source', coalesce(nullif(source, ''), 'Unspecified'), count(*) from m group by all")
+def a21_matched_distributions(spark, sf_dir):
+    """Kinds and sources among the five best hits."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unspecified")).alias("name")) for c in ("lang", "source")]))
+    return _hits(spark, sf_dir).select(kinds.alias("k")).select("k.*").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_DENSE}, dr as (select *, row_number() over (order by round(score, 9) desc, id) r from dn) select id, round(score, 6) dense_score, 0.0::double bm25_score, round(1.0::double / (60 + r), 8) rrf, 'meaning' found_by from dr where r <= {TOP}")
+def v6_dense_only(spark, sf_dir):
+    """What is shown where the keyword side is not there: vector hits alone, in the form of fused ones."""
+    hits = R.top(R.dense(load(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), "vec_id", "embedding"), TOP)
+    return hits.select("id", F.round("score", 6).alias("dense_score"), F.lit(0.0).alias("bm25_score"), F.round(1.0 / (R.RRF_K + F.col("rank")), 8).alias("rrf"), F.lit("meaning").alias("found_by"))
