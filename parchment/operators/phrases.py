@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.folding import fold_array, folded
 
@@ -82,6 +83,7 @@ def scan(docs: DataFrame, phrases: DataFrame, part_phrases: int = PART_PHRASES)
     parts = max(1, -(-size.n // part_phrases), -(-size.chars // PART_CHARS))
     kinds = docs.schema["doc"].dataType.simpleString(), phrases.schema["key"].dataType.simpleString()
     schema = f"doc {kinds[0]}, start int, stop int, key {kinds[1]}"
+    key_type = to_arrow_type(phrases.schema["key"].dataType)
     texts = docs.filter("doc is not null").select("doc", "text")
 
     def part(k: int) -> DataFrame:
@@ -93,7 +95,7 @@ def scan(docs: DataFrame, phrases: DataFrame, part_phrases: int = PART_PHRASES)
                 found = [(i, *m) for i, t in enumerate(fold_array(b["text"]).to_pylist()) for m in matches(t, root.value, parts > 1)]
                 if found:
                     at, start, stop, key = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([b["doc"].take(pa.array(at)), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(key)], ["doc", "start", "stop", "key"])
+                    yield pa.RecordBatch.from_arrays([b["doc"].take(pa.array(at)), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(key, key_type)], ["doc", "start", "stop", "key"])
 
         return texts.mapInArrow(run, schema)
 
