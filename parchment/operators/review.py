@@ -33,22 +33,51 @@ def routed(items: DataFrame) -> DataFrame:
     return items.withColumn("deviated", F.coalesce(deviated, F.lit(False))).withColumn("reasons", reasons).withColumn("needs_review", F.size("reasons") > 0)
 
 
-def decided(items: DataFrame, submitted: DataFrame) -> DataFrame:
-    """(sid, verdict, label, type_key, sub_type) of submissions: accepted if the triple is the model's, corrected if it is another
-    valid one, else an error. Fields that are absent keep the current value: the reviewer's, or the model's if there is none or
-    the item was rejected."""
-    joined = submitted.alias("s").join(items.alias("i"), ["run_id", "chunk_id"])
+def _judged(items: DataFrame, submitted: DataFrame, how: str) -> DataFrame:
+    """submitted joined with the items of its (run_id, chunk_id): the item as `i`, the triple that a submission comes to, and its verdict.
+
+    Fields that are absent keep the current value: the reviewer's, or the model's if there is none or the item was rejected. A triple
+    that is the model's is accepted, another valid one corrected, else it is an error; a Non-clause has no sub-type.
+    """
+    fields = F.struct("ord", "deleted", "decision", "label", "type_key", "sub_type", "r_label", "r_type", "r_sub")
+    joined = submitted.join(items.select("run_id", "chunk_id", fields.alias("i")), ["run_id", "chunk_id"], how)
     own = F.col("i.decision").isin("accepted", "corrected")
 
     def value(field: str, mine: str, model: str) -> Column:
-        present = F.array_contains(F.split("s.present", ","), field)
-        return F.when(present, F.nullif(F.col(f"s.{model}"), F.lit(""))).when(F.coalesce(own, F.lit(False)), F.col(f"i.{mine}")).otherwise(F.col(f"i.{model}"))
+        present = F.array_contains(F.split("present", ","), field)
+        return F.when(present, F.nullif(F.col(model), F.lit(""))).when(F.coalesce(own, F.lit(False)), F.col(f"i.{mine}")).otherwise(F.col(f"i.{model}"))
 
-    rows = joined.select("sid", value("label", "r_label", "label").alias("label"), value("type", "r_type", "type_key").alias("type_key"), value("sub", "r_sub", "sub_type").alias("sub"), *[F.col(f"i.{c}").alias(f"m_{c}") for c in ("label", "type_key", "sub_type")])
+    rows = joined.select("sid", "run_id", "chunk_id", "i", value("label", "r_label", "label").alias("label"), value("type", "r_type", "type_key").alias("type_key"), value("sub", "r_sub", "sub_type").alias("sub"))
     rows = rows.withColumn("sub_type", F.when(F.col("label") == "Non-clause", None).otherwise(F.col("sub"))).drop("sub")
-    same = F.col("label").eqNullSafe(F.col("m_label")) & F.col("type_key").eqNullSafe(F.col("m_type_key")) & F.col("sub_type").eqNullSafe(F.col("m_sub_type"))
-    verdict = F.when(same & F.col("m_label").isNull(), "error: no model label").when(same, "accepted").when(~F.coalesce(F.col("label").isin(*LABELS), F.lit(False)), "error: label").when(F.col("type_key").isNull(), "error: type").otherwise("corrected")
-    return rows.select("sid", verdict.alias("verdict"), "label", "type_key", "sub_type")
+    same = F.col("label").eqNullSafe(F.col("i.label")) & F.col("type_key").eqNullSafe(F.col("i.type_key")) & F.col("sub_type").eqNullSafe(F.col("i.sub_type"))
+    verdict = F.when(same & F.col("i.label").isNull(), "error: no model label").when(same, "accepted").when(~F.coalesce(F.col("label").isin(*LABELS), F.lit(False)), "error: label").when(F.col("type_key").isNull(), "error: type").otherwise("corrected")
+    return rows.withColumn("verdict", verdict)
+
+
+def decided(items: DataFrame, submitted: DataFrame) -> DataFrame:
+    """(sid, verdict, label, type_key, sub_type) of submissions for the items of their run and chunk."""
+    return _judged(items, submitted, "inner").select("sid", "verdict", "label", "type_key", "sub_type")
+
+
+def saved(items: DataFrame, submitted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((run_id, errors, skipped, unchanged, accepted, corrected), (run_id, ord, field, from, to)): saves of runs, and their change logs.
+
+    An item that is not there once and only once is an error, as is a chunk that a save names twice, or a verdict that is one; a deleted item is skipped; a
+    state that is there already is unchanged. One error, and nothing of its run is saved or logged.
+    """
+    once = items.join(items.groupBy("run_id", "chunk_id").count().filter("count = 1").select("run_id", "chunk_id"), ["run_id", "chunk_id"], "left_semi")
+    twice = submitted.groupBy("run_id", "chunk_id").count().filter("count > 1").select("run_id", "chunk_id", F.lit(True).alias("twice"))
+    rows = _judged(once, submitted, "left").join(twice, ["run_id", "chunk_id"], "left")
+    now = F.col("verdict").eqNullSafe(F.col("i.decision")) & F.col("label").eqNullSafe(F.col("i.r_label")) & F.col("type_key").eqNullSafe(F.col("i.r_type")) & F.col("sub_type").eqNullSafe(F.col("i.r_sub"))
+    outcome = F.when(F.col("twice") | F.col("i").isNull(), "error").when(F.col("i.deleted"), "skipped").when(F.startswith("verdict", F.lit("error")), "error").when(now, "unchanged").otherwise(F.col("verdict"))
+    rows = rows.withColumn("outcome", outcome)
+    count = lambda o: F.count_if(F.col("outcome") == o)
+    sound = count("error") == 0
+    totals = rows.groupBy("run_id").agg(count("error").alias("errors"), count("skipped").alias("skipped"), count("unchanged").alias("unchanged"), *[F.when(sound, count(o)).otherwise(0).alias(o) for o in ("accepted", "corrected")])
+    kept = rows.filter(F.col("outcome").isin("accepted", "corrected")).join(totals.filter("errors = 0").select("run_id"), "run_id", "left_semi")
+    moves = [("decision", F.col("i.decision"), F.col("outcome")), ("label", F.col("i.r_label"), F.col("label")), ("type", F.col("i.r_type"), F.col("type_key")), ("sub_type", F.col("i.r_sub"), F.col("sub_type"))]
+    move = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), a.alias("from"), b.alias("to")) for f, a, b in moves]))
+    return totals, kept.select("run_id", F.col("i.ord").alias("ord"), move.alias("m")).select("run_id", "ord", "m.*").filter(~F.col("from").eqNullSafe(F.col("to")))
 
 
 def readiness(items: DataFrame) -> DataFrame:

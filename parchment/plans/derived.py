@@ -100,6 +100,14 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
             case when event_id % 5 < 3 then concat(', "at": {"v": ', cast(floor(value) as int) % 2, case when event_id % 4 = 0 then ', "deep": {"x": [1, 2]}' else '' end, '}') else ', "at": 5' end, '}') as state from events""",
         ("events",),
     ),
+    # Orders as the rows of a document list; several have one name but for case and spaces, some have none.
+    "listed": (
+        """select o_orderkey as id, case when o_orderkey % 23 = 0 then ' ' when o_orderkey % 29 = 0 then null when o_orderkey % 3 = 0 then concat('Order ', o_custkey) else concat(' ORDER ', o_custkey, ' ') end as name, concat('x', o_custkey % 25) as folder, case when o_custkey % 5 = 0 then concat('Title ', o_orderkey % 100) end as title,
+            case when o_orderkey % 6 = 0 then concat('Party ', o_custkey % 50) end as parties, case when o_custkey % 4 <> 0 then concat('User ', o_custkey % 9) end as reviewer, case when o_orderkey % 31 = 0 then concat('User ', o_orderkey % 7) end as current_reviewer, case o_orderkey % 7 when 0 then 'Draft' when 1 then 'Saved' when 2 then 'Reviewed' when 3 then 'Published' when 4 then 'Needs review' when 5 then 'In review' else 'Updated to vector DB' end as status,
+            case o_orderpriority when '1-URGENT' then 'published' when '2-HIGH' then 'classified' when '3-MEDIUM' then 'extracted' when '4-NOT SPECIFIED' then 'extracted_with_warnings' else 'rejected' end as extraction_status, case o_orderstatus when 'F' then 'in_review' when 'O' then 'pending' else 'reviewed' end as review_status, case when o_orderkey % 13 <> 0 then cast(o_orderkey % 12 as int) end as pages,
+            cast(o_orderkey % 3 as int) as needs_review, o_orderkey % 19 = 0 as warned, o_orderkey % 5 <> 0 as has_run, o_orderkey % 17 = 0 as deleted, concat('agreement ', o_custkey % 6) as agreement, concat('sector ', o_custkey % 4) as sector, o_orderdate as created, o_orderkey % 11 = 0 as changed, o_orderkey % 10 = 0 as refused, o_orderkey % 4 = 1 as due from orders""",
+        ("orders",),
+    ),
 }
 
 
