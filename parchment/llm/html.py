@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,13 +52,19 @@ def build(page: str) -> Node:
     """The tree of a page. Unclosed elements end with their parents; end tags that match nothing are dropped."""
     root = Node("html", {})
     line, at = [root], 0
+    places: dict[str, list[int]] = {}  # where the open elements of each tag stand in line
+
+    def end_from(i: int) -> None:
+        for node in line[i:]:
+            places[node.tag].pop()
+        del line[i:]
 
     def close(tags: set[str], shields: set[str]) -> None:
-        for i in range(len(line) - 1, 0, -1):
-            if line[i].tag in shields:
-                return
-            if line[i].tag in tags:
-                del line[i:]
+        """End the outermost open one of `tags` that no shield stands inside of, and all in it."""
+        shield = max((places[t][-1] for t in shields if places.get(t)), default=0)
+        ends = [p[bisect_right(p, shield)] for t in tags if (p := places.get(t)) and p[-1] > shield]
+        if ends:
+            end_from(min(ends))
 
     quotes = True  # until a tag's quotes do not end: then, and in what follows, a tag ends at the first >
 
@@ -91,10 +98,8 @@ def build(page: str) -> Node:
             continue
         tag, rest = name[2].lower(), page[name.end() : end - 1]
         if name[1]:
-            for i in range(len(line) - 1, 0, -1):
-                if line[i].tag == tag:
-                    del line[i:]
-                    break
+            if places.get(tag):
+                end_from(places[tag][-1])
             continue
         attributes = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(rest)} if rest else {}
         if tag == "html":
@@ -112,6 +117,7 @@ def build(page: str) -> Node:
             at = page.find(">", end.end()) + 1 if end else 0
             at = at or len(page)
         elif tag not in VOID and not rest.rstrip().endswith("/"):
+            places.setdefault(tag, []).append(len(line))
             line.append(node)
 
 
@@ -172,137 +178,151 @@ def _span(cell: Node, name: str) -> int:
     return min(int(value), SPANS[name]) if _NUMBER.fullmatch(value) and int(value) > 0 else 1
 
 
-def _render_whole(node: Node, depth: int) -> list[str]:
-    out = _Out()
-    _walk(node, out, False, depth, None)
-    return out.done()
+#: Tables inside of tables, and lists inside of lists, beyond which they are shown as plain blocks: each cell and item on a line of its own.
+MAX_TABLES, MAX_LISTS = 24, 24
+_VISIT, _BLOCK, _ITEM = range(3)
 
 
-def _table(node: Node, depth: int) -> list[str]:
-    """Rows of cells, each column as wide as its widest cell, two spaces between columns."""
-    rows: list[list[list[str]]] = []
-    captions: list[str] = []
-    taken: dict[int, int] = {}  # columns that a cell above still covers, and for how many rows
-    todo = [node]
+def _rows(table: Node) -> tuple[list[Node], list[Node | str]]:
+    """(rows, what stands in the table but in no row) of a table in order; its foot comes last."""
+    rows: list[Node] = []
+    feet: list[Node] = []
+    other: list[Node | str] = []
+    todo = [(c, rows) for c in reversed(table.children)]
     while todo:
-        at = todo.pop(0)
-        for c in at.children:
-            if isinstance(c, str) or not _visible(c):
-                if isinstance(c, str) and c.strip():
-                    captions += _render(c, depth)
+        c, into = todo.pop()
+        if isinstance(c, str):
+            if c.strip():
+                other.append(c)
+        elif not _visible(c):
+            continue
+        elif c.tag == "tr":
+            into.append(c)
+        elif c.tag in ("thead", "tbody", "tfoot", "colgroup"):
+            todo += [(x, feet if c.tag == "tfoot" else into) for x in reversed(c.children)]
+        else:
+            other.append(c)
+    return rows + feet, other
+
+
+def _table(node: Node, tables: int) -> list[str]:
+    """Rows of cells, each column as wide as its widest cell, two spaces between columns; a column in which no cell starts takes no room."""
+    found, other = _rows(node)
+    captions = [x for c in other for x in _lines([c] if isinstance(c, str) else c.children, tables)]
+    rows: list[list[tuple[int, list[str]]]] = []
+    covered: list[tuple[int, int, int]] = []  # from, to, rows: columns that cells above still cover
+    for tr in found:
+        row, column, above, k = [], 0, covered, 0
+        covered = [(a, b, n - 1) for a, b, n in above if n > 1]
+        for cell in tr.children:
+            if isinstance(cell, str) or cell.tag not in ("td", "th"):  # shown before the table
+                if isinstance(cell, str) and cell.strip() or isinstance(cell, Node):
+                    captions += _lines([cell], tables)
+                continue
+            if not _visible(cell):
                 continue
-            if c.tag == "tr":
-                row: list[list[str]] = []
-                covered, taken = taken, {k: n - 1 for k, n in taken.items() if n > 1}
-                for cell in c.children:
-                    if isinstance(cell, str) or cell.tag not in ("td", "th"):  # shown before the table
-                        captions += _render(cell, depth) if isinstance(cell, str) and cell.strip() else _render_whole(cell, depth) if isinstance(cell, Node) and _visible(cell) else []
-                    elif _visible(cell):
-                        while len(row) in covered:
-                            row.append([""])
-                        wide, high = _span(cell, "colspan"), _span(cell, "rowspan")
-                        if high > 1:
-                            taken |= {k: high - 1 for k in range(len(row), len(row) + wide)}
-                        row += [_render(cell, depth), *[[""]] * (wide - 1)]
-                rows.append(row)
-            elif c.tag in ("thead", "tbody", "tfoot", "colgroup"):
-                todo.append(c)
-            else:
-                captions += _render(c, depth)
-    width = [max((max(map(len, r[i]), default=0) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
+            while k < len(above) and above[k][0] <= column:
+                column = max(column, above[k][1])
+                k += 1
+            wide, high = _span(cell, "colspan"), _span(cell, "rowspan")
+            row.append((column, _lines(cell.children, tables)))
+            if high > 1:
+                covered.append((column, column + wide, high - 1))
+            column += wide
+        covered.sort()
+        rows.append(row)
+    width: dict[int, int] = {}
+    for row in rows:
+        for column, text in row:
+            width[column] = max(width.get(column, 0), max(map(len, text), default=0))
+    left, at = {}, 0
+    for column in sorted(width):
+        left[column] = at
+        at += width[column] + 2
     out = captions
-    for r in rows:
-        for k in range(max((len(c) for c in r), default=0)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, width)).rstrip())
+    for row in rows:
+        for k in range(max((len(text) for _, text in row), default=0)):
+            line, size = [], 0
+            for column, text in row:
+                if k < len(text) and text[k]:
+                    line += [" " * (left[column] - size), text[k]]
+                    size = max(left[column], size) + len(text[k])
+            out.append("".join(line).rstrip())
     return out
 
 
-def _walk(node: Node | str, out: _Out, keep: bool, depth: int, items: list[int] | None) -> None:
-    if isinstance(node, str):
-        out.text(node, keep)
-        return
-    if not _visible(node):
-        return
-    tag = node.tag
-    if tag == "br":
-        out.break_line()
-    elif tag == "hr":
-        out.block(2)
-    elif tag == "table" and depth < MAX_DEPTH:
-        out.block(2)
-        for x in _table(node, depth + 1):
-            out.text(x, True)
-            out.block(1)
-        out.block(2)
-    elif tag in ("ul", "ol", "menu") and depth < MAX_DEPTH:
-        start = node.attributes.get("start", "1").strip()
-        count = [int(start) if _NUMBER.fullmatch(start) else 1] if tag == "ol" else []
-        out.block(1 if items is not None else 2)
-        for c in node.children:
-            if isinstance(c, Node) and c.tag == "li" and _visible(c):
-                mark = f"{count[0]}. " if count else "- "
-                if count:
-                    count[0] += 1
-                inner = _Out()
-                for x in c.children:
-                    _walk(x, inner, keep, depth + 1, count)
-                for i, x in enumerate(inner.done() or [""]):
-                    out.text((mark if not i else " " * len(mark)) + x if x or not i else "", True)
-                    out.block(1)
-            else:
-                _walk(c, out, keep, depth + 1, count)
-        out.block(1 if items is not None else 2)
-    else:
-        gap = 2 if tag in PARAGRAPHS else 1 if tag in BLOCKS else 0
-        if gap:
-            out.block(gap)
-        todo = node.children
-        if depth >= MAX_DEPTH:  # what lies deeper is flattened
-            todo = [x for x in _flat(node)]
-        for c in todo:
-            _walk(c, out, keep or tag == "pre", depth + 1, items if not gap else None)
-        if gap:
-            out.block(gap)
-
-
-#: Elements nested deeper are shown without their layout.
-MAX_DEPTH = 150
-
-
-def _flat(node: Node) -> list[str]:
-    out, todo = [], [*reversed(node.children)]
+def _lines(nodes: list[Node | str], tables: int) -> list[str]:
+    """The lines that nodes give. The nodes still to be shown are kept in a list of our own, so that elements may be nested to any depth."""
+    whole = _Out()
+    # A list directly inside of another (`tight`) has no blank lines around it.
+    todo: list[tuple] = [(_VISIT, n, whole, False, 0, False) for n in reversed(nodes)]
     while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif _visible(x):
-            todo += [*reversed(x.children)]
-    return out
-
-
-def _render(node: Node | str, depth: int = 0) -> list[str]:
-    out = _Out()
-    if isinstance(node, str):
-        out.text(node, False)
-    else:
-        for c in node.children:
-            _walk(c, out, False, depth + 1, None)
-    return out.done()
+        what, node, out, keep, lists, tight = todo.pop()
+        if what == _BLOCK:
+            out.block(node)
+            continue
+        if what == _ITEM:
+            mark, inner = node
+            for i, x in enumerate(inner.done() or [""]):
+                out.text((mark if not i else " " * len(mark)) + x if x or not i else "", True)
+                out.block(1)
+            continue
+        if isinstance(node, str):
+            out.text(node, keep)
+            continue
+        if not _visible(node):
+            continue
+        tag = node.tag
+        if tag == "br":
+            out.break_line()
+        elif tag == "hr":
+            out.block(2)
+        elif tag == "table" and tables < MAX_TABLES:
+            out.block(2)
+            for x in _table(node, tables + 1):
+                out.text(x, True)
+                out.block(1)
+            out.block(2)
+        elif tag in ("ul", "ol", "menu") and lists < MAX_LISTS:
+            gap, number, steps = 1 if tight else 2, _number(node, "start"), []
+            out.block(gap)
+            for c in node.children:
+                if isinstance(c, Node) and c.tag == "li" and _visible(c):
+                    if tag == "ol":
+                        number = _number(c, "value", number)
+                    inner = _Out()
+                    steps += [(_VISIT, x, inner, keep, lists + 1, True) for x in c.children]
+                    steps.append((_ITEM, (f"{number}. " if tag == "ol" else "- ", inner), out, keep, lists, tight))
+                    number += 1
+                else:
+                    steps.append((_VISIT, c, out, keep, lists + 1, True))
+            todo += [(_BLOCK, gap, out, keep, lists, tight), *reversed(steps)]
+        else:
+            gap = 2 if tag in PARAGRAPHS else 1 if tag in BLOCKS else 0
+            if gap:
+                out.block(gap)
+                todo.append((_BLOCK, gap, out, keep, lists, tight))
+            todo += [(_VISIT, c, out, keep or tag == "pre", lists, tight and not gap) for c in reversed(node.children)]
+    return whole.done()
+
+
+def _number(node: Node, name: str, other: int = 1) -> int:
+    value = node.attributes.get(name, "").strip()
+    return int(value) if _NUMBER.fullmatch(value) else other
 
 
 def visible_text(page: str | None) -> str:
     """The visible text of a page: blocks on lines of their own, a blank line around paragraphs, list marks, aligned table cells."""
     if not page:
         return ""
-    root = build(page)
-    return "\n".join(_render(root)).strip("\n")
+    return "\n".join(_lines(build(page).children, 0)).strip("\n")
 
 
 def extract(pages: DataFrame, source: str = "html", into: str = "text") -> DataFrame:
     """pages without the column `source` and with `into`, the visible text of each page.
 
-    A null or empty page gives an empty text, broken markup the text that a lenient reader would see; elements nested more
-    than MAX_DEPTH deep lose their layout, not their text. Text that stands in a table but in no cell comes before the
+    A null or empty page gives an empty text, broken markup the text that a lenient reader would see. Elements may be nested to any depth; tables and
+    lists inside of more than MAX_TABLES and MAX_LISTS others are shown as plain blocks. Text that stands in a table but in no cell comes before the
     table. Rows are taken one by one, without a shuffle, so ties and repeated rows do not matter; pages of any length are
     read in time in proportion to it. Other columns stay, one named like `into` is replaced; an empty table gives an empty one.
     """
