@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ def stash(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
-    _live.add(path)
+    if (mine := _run.get()) is not None:
+        mine.add(path)
     return out
 
 
@@ -41,22 +43,25 @@ def unstash(*frames: DataFrame) -> None:
         _delete(df.sparkSession, df._stash_path)
 
 
+#: The tables stashed in the run that this thread of control is in; None outside of runs.
+_run: ContextVar[set[str] | None] = ContextVar("stashed", default=None)
+
+
 def stashed() -> frozenset[str]:
-    """The stashed tables that there are now."""
-    return frozenset(_live)
+    """Begin a run: from now on the tables stashed by this thread of control, and by no other, are its own. It has none yet."""
+    _run.set(set())
+    return frozenset()
 
 
 def sweep(keep: DataFrame, older: frozenset[str]) -> None:
-    """Delete the tables stashed since `older` was taken, but one, which is written and holds all that is still needed."""
-    for path in _live - older - {keep._stash_path}:
+    """Delete the tables of this run that were not there in `older`, but one, which is written and holds all that is still needed."""
+    for path in (_run.get() or set()) - older - {keep._stash_path}:
         _delete(keep.sparkSession, path)
 
 
-_live: set[str] = set()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
-    _live.discard(path)
+    if (mine := _run.get()) is not None:
+        mine.discard(path)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 

@@ -531,3 +531,43 @@ def test_pipeline_stages_on_edge_cases(spark):
             if name != "best-fit packing":
                 assert out.columns == docs.columns
             assert out.count() <= docs.count() + 2
+
+
+def test_runs_delete_only_their_own_tables(spark):
+    import threading
+
+    from parchment.llm import common
+
+    one = lambda n: spark.createDataFrame([(n,)], "n int")
+    before = common.stash(one(1))
+    other, ready, swept = {}, threading.Event(), threading.Event()
+
+    def beside():
+        other["mine"] = common.stash(one(2))
+        ready.set()
+        swept.wait(60)
+        other["rows"] = other["mine"].collect()
+
+    def run():
+        older = common.stashed()
+        gone = common.stash(one(3))
+        ready.wait(60)
+        kept = common.stash(one(4))
+        common.sweep(kept, older)
+        swept.set()
+        other["kept"] = kept.collect()
+        with pytest.raises(Exception, match="(?i)not exist|not found"):
+            gone.collect()
+
+    threads = [threading.Thread(target=t) for t in (beside, run)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert other["rows"][0].n == 2 and other["kept"][0].n == 4 and before.collect()[0].n == 1
+
+
+def test_pipeline_beside_another_operator(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.submit(lambda: corpus_pipeline.run(spark, SF).count()), pool.submit(lambda: [queries.op9_packing(spark, SF).count() for _ in range(3)])
+        assert a.result() > 0 and len(set(b.result())) == 1
