@@ -108,6 +108,18 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
             cast(o_orderkey % 3 as int) as needs_review, o_orderkey % 19 = 0 as warned, o_orderkey % 5 <> 0 as has_run, o_orderkey % 17 = 0 as deleted, concat('agreement ', o_custkey % 6) as agreement, concat('sector ', o_custkey % 4) as sector, o_orderdate as created, o_orderkey % 11 = 0 as changed, o_orderkey % 10 = 0 as refused, o_orderkey % 4 = 1 as due from orders""",
         ("orders",),
     ),
+    # A model's answers as they come, one an event: types by name in any case, titles with quotes and stops, blank reasons.
+    "model_items": (
+        """select user_id as call_id, event_id as id, case when event_id % 4 = 0 then 'Non-clause' else 'Clause' end as label, case when event_id % 11 = 0 then null when event_id % 3 = 0 then upper(event_type) when event_id % 13 = 0 then 'nothing' else event_type end as canonical_type,
+            case event_id % 5 when 0 then ' "The  Title." ' when 1 then null when 2 then ' ''. ' when 3 then repeat('long title ', 30) else concat('Title ', event_id % 7, ':;') end as sub_type, cast(floor(value) as int) % 100 as confidence, case when event_id % 17 = 0 then '  ' when event_id % 19 = 0 then null else concat(' because  of ', event_type, ' ') end as reason from events""",
+        ("events",),
+    ),
+    # Classification runs of documents, some still open, and what each was made with.
+    "class_runs": (
+        """select o_custkey as document_id, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as int) as attempt, case when o_orderkey % 10 = 3 then 'running' when o_orderstatus = 'O' then 'failed' else 'succeeded' end as status, case when o_orderkey % 6 = 0 then 't1' else 't2' end as taxonomy, case when o_orderkey % 8 = 0 then 'p1' else 'p2' end as prompt,
+            case when o_orderkey % 9 = 0 then 'm1' else 'm2' end as model, substr(md5(cast(o_orderkey % 3 as string)), 1, 8) as prompt_hash, o_orderkey % 100 as least_confidence, o_orderkey % 7 as parse_ms, case when o_orderkey % 4 <> 0 then o_orderkey % 90 end as chunk_ms, case when o_orderkey % 5 <> 0 then o_orderkey % 70 end as classify_ms, o_orderkey % 3 = 0 as is_current from orders""",
+        ("orders",),
+    ),
 }
 
 
