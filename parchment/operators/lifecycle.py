@@ -12,7 +12,7 @@ from ..sources.shared import new_path
 #: What front matter is without meaning, and words that give it some; characters of a line that may be noise.
 NOISE = r"(?i)^\s*(?:page\s*\d|\d+\s*of\s*\d|version\s|v\d+\.\d|confidential\b|draft\b|private\s+and\s+confidential|copyright|\(c\)\s*\d{4}|all\s+rights)"
 SUBSTANCE = r"(?i)\b(?:whereas|recital|recitals|background|witnesseth|now\s+therefore|entered\s+into|is\s+made|agreement\s+is|between|by\s+and\s+between|parties|party|effective\s+date|in\s+consideration)\b"
-NOISE_CHARS = 80
+NOISE_CHARS = 50
 #: The longest sub-type, and the confidence below which a judge is asked.
 SUB_TYPE_CHARS, JUDGED_BELOW = 255, 70
 

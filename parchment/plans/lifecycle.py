@@ -15,7 +15,7 @@ from .retrieval import _DENSE, TOP, _vector
 
 @query(_LEX + rf""", s as (select *, case when coalesce(text, '') = '' then 'empty' when heading = 2 then 'toc' when band = 2 and heading is null then 'table' else 'content' end b0 from lex), st as (select doc, min(ord) filter (b0 = 'content' and heading is null and cls is not null) begin from s group by 1),
     f as (select s.*, b0 = 'content' and coalesce(ord < begin, false) front from s join st using (doc)), f2 as (select *, front and coalesce(heading = 0, false) head, trim(coalesce(text, '')) x from f), ti as (select doc, coalesce(trim(string_agg(text, ' ' order by ord) filter (head)), arg_min(text, ord)) title from f2 where front group by 1),
-    n as (select *, x = '' or regexp_matches(x, '{lifecycle.NOISE}') or (length(x) <= 80 and not regexp_matches(x, '{lifecycle.SUBSTANCE}') and not contains(rtrim(x, '.'), '.')) noise from f2)
+    n as (select *, x = '' or regexp_matches(x, '{lifecycle.NOISE}') or (length(x) <= {lifecycle.NOISE_CHARS} and not regexp_matches(x, '{lifecycle.SUBSTANCE}') and not contains(rtrim(x, '.'), '.')) noise from f2)
     select n.doc, ord, case when not front then b0 when head then 'document_title' when noise then 'intro_removed' else 'content' end bucket, front and not head and not noise front_matter, title from n left join ti on ti.doc = n.doc""")
 def p18_buckets(spark, sf_dir):
     """Each line's bucket, and each document's title."""
