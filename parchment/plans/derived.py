@@ -120,6 +120,12 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
             case when o_orderkey % 9 = 0 then 'm1' else 'm2' end as model, substr(md5(cast(o_orderkey % 3 as string)), 1, 8) as prompt_hash, o_orderkey % 100 as least_confidence, o_orderkey % 7 as parse_ms, case when o_orderkey % 4 <> 0 then o_orderkey % 90 end as chunk_ms, case when o_orderkey % 5 <> 0 then o_orderkey % 70 end as classify_ms, o_orderkey % 3 = 0 as is_current from orders""",
         ("orders",),
     ),
+    # The line items of an order as cells of its tables; some share a cell, some are blank, some are of no table or column.
+    "cells": (
+        """select l_orderkey as doc, case when l_suppkey % 17 <> 0 then cast(l_suppkey % 2 as int) end as tab, l_linenumber - 1 as r, case when l_partkey % 13 <> 0 then cast(l_partkey % 4 as int) end as col, cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) as int) as ord,
+            case l_partkey % 5 when 0 then ' ' when 1 then null else concat(' t', l_suppkey, ' ') end as text from lineitem""",
+        ("lineitem",),
+    ),
 }
 
 
