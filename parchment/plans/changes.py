@@ -52,8 +52,12 @@ def _walk(spark, sf_dir, last):
     # A walk has as many rows as there are folders; the limit is there for recursions that never end, which the visited path rules out.
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
-    text = f"with recursive folders as (select * from {{folders_}}), {_WALK}{last}"
-    frames = {"folders_": derived(spark, sf_dir, "folders")} | ({"files": derived(spark, sf_dir, "files")} if "{files}" in last else {})
+    return _recursive(spark, sf_dir, f"{_WALK}{last}")
+
+
+def _recursive(spark, sf_dir, rest):
+    text = f"with recursive folders as (select * from {{folders_}}), {rest}"
+    frames = {"folders_": derived(spark, sf_dir, "folders")} | ({"files": derived(spark, sf_dir, "files")} if "{files}" in rest else {})
     return spark.sql(text, **frames)
 
 
@@ -109,3 +113,39 @@ def x31_state_changes(spark, sf_dir):
 def x31_changed_states(spark, sf_dir):
     """The events that changed something; each has one object {field: {from, to}}."""
     return diffs.as_json(diffs.changes(derived(spark, sf_dir, "states"))).filter("from_json(changes, 'map<string,string>') is not null").select("doc", "n")
+
+
+#: Folders that a snapshot asks for, in order; one is named twice, one lies inside of another.
+_ASKED = "asked as (select id, min(turn) as turn from (values ('n3', 1), ('r1', 2), ('n3', 3), ('c5', 4), ('nowhere', 5)) as v(id, turn) group by id)"
+_REACHED = "t as (select a.turn, f.id, cast(f.id as string) as path from asked a join (select distinct id from folders) f on f.id = a.id union all select t.turn, f.id, t.path || '/' || f.id from t join folders f on f.parent = t.id where not contains('/' || t.path || '/', '/' || f.id || '/'))"
+
+
+@query(derived_sql("folders", "files") + f", {_ASKED}, {_REACHED}, l as (select f.id, f.size, t.turn, t.path from t join files f on f.parent = t.id) select id, arg_min(size, (turn, path)) size, min(turn) first_asked from l group by id")
+def s6_snapshot_of_folders(spark, sf_dir):
+    """The files below the folders that were asked for (S2): each once, from the first that leads to it."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+    return _recursive(spark, sf_dir, f"{_ASKED}, {_REACHED}, l as (select f.id, f.size, t.turn, t.path from t join {{files}} f on f.parent = t.id) select id, min_by(size, struct(turn, path)) as size, min(turn) as first_asked from l group by id")
+
+
+@query(derived_sql("records", "items") + """, s as (select cast(substr(run_id, 2) as bigint) document_id, ord paragraph_id, edited is not null and edited is distinct from source_text changed from items where decision is not null)
+    select coalesce(r.document_id, s.document_id) document_id, coalesce(r.paragraph_id, s.paragraph_id) paragraph_id, case when s.document_id is null then r.is_modified else coalesce(r.is_modified, false) or changed or r.synced_at is null end is_modified, r.document_id is null created
+    from (select * from records where document_id % 11 <> 0) r full join s on s.document_id = r.document_id and s.paragraph_id = r.paragraph_id""")
+def r5_mirrored_records(spark, sf_dir):
+    """Records after a save was mirrored: modified stays so, and becomes so where the text changed or was never synchronised; missing records are made."""
+    kept = derived(spark, sf_dir, "records").filter("document_id % 11 <> 0").select("document_id", "paragraph_id", "is_modified", "synced_at", F.lit(True).alias("there"))
+    changed = F.col("edited").isNotNull() & ~F.col("edited").eqNullSafe(F.col("source_text"))
+    saved = derived(spark, sf_dir, "items").filter("decision is not null").select(F.substring("run_id", 2, 20).cast("long").alias("document_id"), F.col("ord").alias("paragraph_id"), changed.alias("changed"))
+    both = kept.join(saved, ["document_id", "paragraph_id"], "full_outer")
+    touched = F.coalesce("is_modified", F.lit(False)) | F.col("changed") | F.col("synced_at").isNull()
+    return both.select("document_id", "paragraph_id", F.when(F.col("changed").isNull(), F.col("is_modified")).otherwise(touched).alias("is_modified"), F.col("there").isNull().alias("created"))
+
+
+@query("select p_type, p_name, count(*) n from part where p_type not in ('ECONOMY', 'SMALL') and p_partkey % 2 = 0 group by 1, 2 union all select p_type, p_name, count(*) from part where p_type in ('ECONOMY', 'SMALL') and p_partkey % 3 = 0 group by 1, 2")
+def r13_replaced_children(spark, sf_dir):
+    """Aliases of types after some types were saved: their children are replaced as a whole, those of others stay."""
+    part = load(spark, sf_dir, "part", "p_type", "p_name", "p_partkey")
+    held = part.filter("p_partkey % 2 = 0").groupBy("p_type", "p_name").agg(F.count(F.lit(1)).alias("n"))
+    saved = part.filter("p_type in ('ECONOMY', 'SMALL') and p_partkey % 3 = 0").groupBy("p_type", "p_name").agg(F.count(F.lit(1)).alias("n"))
+    types = part.filter("p_type in ('ECONOMY', 'SMALL')").select("p_type").distinct()
+    return held.join(types, "p_type", "left_anti").unionByName(saved)

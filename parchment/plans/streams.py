@@ -113,3 +113,12 @@ def t7_in_flight(spark, sf_dir):
     work = pairs.groupBy("event_id", "document", "at").agg(first.alias("e"))
     until = F.coalesce(F.col("e.end_at"), F.col("at") + F.expr("interval 30 minutes"))
     return work.select("event_id", "document", F.col("at").cast("timestamp_ntz").alias("at"), F.col("e.end_id").alias("end_id"), until.cast("timestamp_ntz").alias("until"))
+
+
+@query("""with d as (select user_id, ts from events where event_type in ('view', 'click')), g as (select *, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 24 hour, true) opens from d), s as (select *, sum(opens::integer) over (partition by user_id order by ts rows unbounded preceding) k from g),
+    x as (select user_id, min(ts) first, max(ts) last, max(ts) + interval 24 hour expires, count(*) saves from s group by user_id, k) select * from x where expires <= (select max(ts) from d)""")
+def t6_expired_drafts(spark, sf_dir):
+    """Drafts that were purged, a day after their last save: sessions of a stream, in append mode, so that what is still alive stays in state."""
+    saves = A.activity(spark, f"{sf_dir}/events.parquet").filter("event_type in ('view', 'click')").select("user_id", "ts")
+    found = _drained(spark, A.expired_drafts(saves), A.append, "append")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last", "expires")})

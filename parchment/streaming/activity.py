@@ -34,6 +34,15 @@ def sessions(events: DataFrame, gap: str = "1 day", late: str = "1 day") -> Data
     return per.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def expired_drafts(saves: DataFrame, live: str = "24 hours", late: str = "0 seconds") -> DataFrame:
+    """(user_id, first, last, expires, saves) of each draft of a user that was not saved again within `live`; the stream drops it then.
+
+    In append mode a draft comes out once the watermark has passed its expiry, and its state goes with it: that is the purge.
+    """
+    per = _timed(saves, late).groupBy(F.session_window("ts", live), "user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("saves"))
+    return per.select("user_id", "first", "last", F.col("session_window.end").alias("expires"), "saves")
+
+
 def append_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A batch writer for foreachBatch: appends the rows whose keys the table at `path` does not hold, once each.
 
