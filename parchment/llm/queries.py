@@ -120,7 +120,56 @@ def _lloyd_sql(k: int, rounds: int) -> str:
         from a{rounds} a join c{rounds} c on a.cluster = c.cluster"""
 
 
+def _quality_sql() -> str:
+    """Counts by windows over the words of each text, and the threshold table."""
+    stop = ", ".join(f"'{w}'" for w in sorted({w for ws in quality.STOP_WORDS.values() for w in ws}))
+    marks = quality.MARKS.replace("'", "''")
+    at_least_1 = "greatest(n_words, 1)"
+    metrics = {"mean_word_chars": f"word_chars / {at_least_1}", "symbols_per_word": f"n_symbols / {at_least_1}", "stop_word_share": f"n_stop / {at_least_1}", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)"}
+    tests = [f"{metrics[r.metric]} {op} {bound}" for r in quality.RULES for op, bound in ((">=", r.least), ("<=", r.most)) if bound is not None]
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    return f"""
+        with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+        w as (select r, unnest(regexp_extract_all(t, '{word}+')) w, generate_subscripts(regexp_extract_all(t, '{word}+'), 1) i from d),
+        g as (select r, i, w, case when lead(w, 2) over o is not null then [w, lead(w) over o, lead(w, 2) over o] end k from w window o as (partition by r order by i)),
+        c as (select r, i, w, k is not null and count(*) over (partition by r, k) > 1 again from g),
+        v as (select r, w, again or coalesce(lag(again) over o, false) or coalesce(lag(again, 2) over o, false) inside from c window o as (partition by r order by i)),
+        a as (select r, count(*) n_words, sum(length(w)) word_chars, sum(length(w) - length(regexp_replace(w, '[{quality.SYMBOLS}]', '', 'g'))) n_symbols, count(*) filter (inside) n_repeat_words from v group by 1),
+        l as (select r, doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) ls, len(list_filter(string_split_regex(translate(lower(t), '{marks}', '{" " * len(quality.MARKS)}'), '{space}+'), lambda x: list_contains([{stop}], x))) n_stop from d),
+        m as (select doc_id, coalesce(n_words, 0) n_words, coalesce(word_chars, 0) word_chars, coalesce(n_symbols, 0) n_symbols, len(ls) n_lines, len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words, n_stop from l left join a using (r)),
+        f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m)
+        select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols, cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words, base_failed, not base_failed and {" and ".join(tests)} kept from f"""
+
+
+def _crc_table() -> list[int]:
+    def entry(n: int) -> int:
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        return n
+
+    return [entry(n) for n in range(256)]
+
+
+def _spelling_sql() -> str:
+    """Words with the check sums by bytes; near words by what is left when a letter is left out."""
+    upper, lower, letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "[A-Za-z\u00c0-\u00ff]+"
+    crc = "xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, crc[cast(xor(c, x) & 255 as integer) + 1])), 4294967295::bigint)"
+    return f"""
+        with recursive runs as (select doc_id, translate(unnest(regexp_extract_all(text, '{letters}')), '{upper}', '{lower}') run from documents), per as (select doc_id, run, count(*) n, hex(encode(doc_id || ':' || run)) x from runs group by 1, 2),
+        sums as (select run, n, list_transform(range(0, length(x) // 2), lambda i: cast('0x' || x[2 * i + 1:2 * i + 2] as bigint)) b, {_crc_table()}::bigint[] crc from per), h as (select run, n, case when b is null then 1 else {crc} end h from sums),
+        cut as (select case when h % 97 = 0 then left(run, cast(h % length(run) as integer)) || substr(run, cast(h % length(run) as integer) + 2) else run end word, n from h),
+        words as materialized (select word, cast(sum(n) as bigint) n from cut where length(word) >= 5 group by 1 having sum(n) >= 3),
+        less as materialized (select word, n, i, left(word, i - 1) || substr(word, i + 1) rest from (select word, n, unnest(range(1, length(word) + 1)) i from words)),
+        near as (select a.word, b.word near, b.n from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word union select w.word, l.word, l.n from words w join less l on l.rest = w.word union select l.word, w.word, w.n from words w join less l on l.rest = w.word),
+        best as (select word, count(*) n_near, min({{'less': -n, 'form': near}}) b from near group by 1),
+        forms as materialized (select words.word, words.n, coalesce(n_near, 0) n_near, case when -b.less >= 2 * words.n then b.form end form, case when -b.less >= 2 * words.n then -b.less end form_n from words left join best using (word)),
+        chain as (select word, word as at_, form from forms union all select c.word, f.word, f.form from chain c join forms f on f.word = c.form)
+        select f.word, f.n, f.form, cast(f.form_n as bigint) form_n, cast(f.n_near as bigint) n_near, c.at_ root from forms f join chain c on c.word = f.word and c.form is null"""
+
+
 ORACLE_SQL = {
+    "op2_quality": _quality_sql(),
+    "op13_spelling": _spelling_sql(),
     "op4_chats": r"""
         with rows as (
             select conv_id, turn, role, text from conversations

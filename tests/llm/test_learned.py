@@ -271,3 +271,16 @@ def test_spelling_edge_cases(spark):
     assert spelling.variants(spelling.counted_words(df.limit(0), LETTERS)).collect() == []
     some = spelling.variants(spark.createDataFrame([(None, 3), ("", 1), ("a", 1), ("b", None)], "word string, n long"))
     assert sorted((r.word, r.n_near, r.root) for r in some.collect()) == [("", 1, ""), ("a", 1, "a")]
+
+
+# Queries against their SQL
+
+
+@pytest.mark.parametrize("name", ["op2_quality", "op13_spelling"])
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(columns) and by_text(tuple(r) for r in df.select(columns).collect()) == by_text(want.fetchall())
