@@ -68,7 +68,7 @@ def p13_typed_numbers_of_lines(spark, sf_dir):
 @query(_TREE + " select doc, ord, kind, number, depth, start, stop, parent, level, children, heading from tree union all select doc, n, 'body', null, null, null, null, (select max(start) from tree c where c.doc = p.doc and c.ord < p.n), null, null, null from p where n > 0 and depth is null")
 def p25_outline(spark, sf_dir):
     """The clause tree of each document: nodes with intervals, placeholder parents, and bodies."""
-    return outline.outline(derived(spark, sf_dir, "lines"))
+    return outline.outline(derived(spark, sf_dir, "lines")).drop("path")
 
 
 def _words(*sets) -> str:
@@ -170,7 +170,7 @@ def p27_relations(spark, sf_dir):
 
 @query(_TREE + ", up as (select doc, start, parent anc, 1 as distance from tree where parent is not null union all select u.doc, u.start, t.parent, distance + 1 from up u join tree t on t.doc = u.doc and t.start = u.anc where t.parent is not null) select doc, start, anc ancestor, distance from up")
 def j19_ancestor_chains(spark, sf_dir):
-    """Every ancestor of each clause, by intervals."""
+    """Every ancestor of each clause, from the paths."""
     return outline.below(cut(outline.outline(derived(spark, sf_dir, "lines")))).select("doc", F.col("inner").alias("start"), F.col("start").alias("ancestor"), "distance")
 
 
