@@ -571,3 +571,37 @@ def test_pipeline_beside_another_operator(spark):
     with ThreadPoolExecutor(2) as pool:
         a, b = pool.submit(lambda: corpus_pipeline.run(spark, SF).count()), pool.submit(lambda: [queries.op9_packing(spark, SF).count() for _ in range(3)])
         assert a.result() > 0 and len(set(b.result())) == 1
+
+
+def test_passages_runs_around_seeds_are_packed_by_key():
+    """_Runs against plain loops, for many seeds and texts at once: one row for runs next to each other with one key."""
+    rng = np.random.default_rng(3)
+    made, made_of, want = passages._Runs(), {}, []
+    for i in range(60):
+        q = rng.integers(0, 9, rng.integers(50, 200)).astype(np.uint32)
+        shift = int(rng.integers(0, 10))
+        p = q[shift:].copy()
+        p[rng.integers(0, len(p), 6)] = 99
+        for itself in (False, True):
+            borders = []
+            for a in rng.integers(shift, len(q) - 20, 4).tolist():
+                borders += [a, a - shift]
+                if a + 32 > len(q):
+                    continue
+                back = next((k for k in range(min(50, a - shift)) if q[a - 1 - k] != p[a - 1 - k - shift]), min(50, a - shift))
+                on = next((k for k in range(min(50, len(q) - a)) if q[a + k] != p[a + k - shift]), min(50, len(q) - a))
+                low, high = max(0, a - 18), min(a, len(q) - 50) + 1
+                right = max(low, a + on - 49)
+                for at, to, first, end in ((low, high, a, a + 32),) if itself else ((right, high, a, a + on + 1), (low, min(right, a - back), a - back - 1, a + 32)):
+                    if at < to:
+                        want.append((i, at, tuple(q[first:end]), tuple(tuple(q[x : x + 50]) for x in range(at, to))))
+            made.add(i, q, borders, itself, [] if itself else [0], [] if itself else [p])
+    got = [r for batch in made.batches() for r in batch.select(["id", "start_word", "start_char", "runs"]).to_pylist()]
+    assert len(want) > 100 and sorted((r["id"], r["start_word"], len(r["runs"])) for r in got) == sorted((i, at, len(runs)) for i, at, _, runs in want)
+    # Equal hashes are of equal words, and the other way round.
+    for x in got:
+        made_of.setdefault((x["id"], x["start_word"], len(x["runs"])), set()).add((x["start_char"], tuple(x["runs"])))
+    for i, at, _, runs in want:
+        assert len({runs for _, runs in made_of[(i, at, len(runs))]}) == 1
+    hashes = {h for x in got for h in x["runs"]}
+    assert len(hashes) == len({run for *_, runs in want for run in runs}) and len({x["start_char"] for x in got}) == len({key for _, _, key, _ in want})
