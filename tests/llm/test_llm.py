@@ -605,3 +605,20 @@ def test_passages_runs_around_seeds_are_packed_by_key():
         assert len({runs for _, runs in made_of[(i, at, len(runs))]}) == 1
     hashes = {h for x in got for h in x["runs"]}
     assert len(hashes) == len({run for *_, runs in want for run in runs}) and len({x["start_char"] for x in got}) == len({key for _, _, key, _ in want})
+
+
+def test_passages_edited_ones_that_neither_first_nor_last_holders_of_seeds_hold(spark):
+    rng = np.random.default_rng(18)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 20000, n)]
+    rows = []
+    for at in range(0, 10000, 100):
+        whole = new(70)
+        parts = {5: whole[:40], 6: whole[30:], 10: whole, 15: whole[:40], 16: whole[30:], 20: _edited(rng, whole, 0.1)}
+        rows += [(at + i, " ".join(new(40) + part + new(40))) for i, part in parts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.other) for r in passages.repeated_passages(df).collect()}
+    recall = len(found & {(at + 20, at + 10) for at in range(0, 10000, 100)}) / 100
+    left = {r.doc_id: len(r.text.split()) for r in passages.without_repeats(df).collect()}
+    print(recall)
+    assert recall >= 0.93 and all(i % 100 == 20 and other == i - 10 for i, other in found)
+    assert all(left[i] <= 100 for i, other in found)
