@@ -622,3 +622,21 @@ def test_passages_edited_ones_that_neither_first_nor_last_holders_of_seeds_hold(
     print(recall)
     assert recall >= 0.93 and all(i % 100 == 20 and other == i - 10 for i, other in found)
     assert all(left[i] <= 100 for i, other in found)
+
+
+def test_passages_documents_meet_once_before_their_places(spark):
+    rng = np.random.default_rng(21)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 20000, n)]
+    stretch, lines = new(40), ["a"] * 30 + ["b"] * 30
+    texts = {i: new(60) + stretch + new(60 + i) for i in range(12)} | {i: new(i) + lines + new(40) for i in range(20, 24)}
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "id long, text string")
+    links = passages._candidates(rows)[1]
+    none = passages.stash(spark.createDataFrame([], "id long, other long, start_word long, n_words long"))
+    got = passages._others(rows, links, none).collect()
+    pairs = [(r.id, r.other) for r in got]
+    assert len(pairs) == len(set(pairs)) and {(i, j) for i in range(3, 12) for j in range(i)} <= set(pairs) and {(23, j) for j in range(20, 23)} <= set(pairs)
+    for r in got:
+        places = [(m >> 33, (m & 0xFFFFFFFF) >> 1) for m in r.m]
+        assert len(places) == len(set(places)) and all(texts[r.id][q : q + 5] == texts[r.other][p : p + 5] for q, p in places)
+        kinds = {tuple(texts[r.id][q : q + 5]) for q, _ in places}
+        assert len(kinds) > 1 and all(len({x[k] for x in places}) > 1 for k in (0, 1))
