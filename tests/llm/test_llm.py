@@ -640,3 +640,40 @@ def test_passages_documents_meet_once_before_their_places(spark):
         assert len(places) == len(set(places)) and all(texts[r.id][q : q + 5] == texts[r.other][p : p + 5] for q, p in places)
         kinds = {tuple(texts[r.id][q : q + 5]) for q, _ in places}
         assert len(kinds) > 1 and all(len({x[k] for x in places}) > 1 for k in (0, 1))
+
+
+def test_passages_documents_without_one_go_before_their_places(spark):
+    rng = np.random.default_rng(22)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 20000, n)]
+    line, stretch = new(34), new(60)
+    texts = {i: new(60) + line + new(60 + i) for i in range(12)} | {i: new(i) + stretch + new(40) for i in range(20, 24)}
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "id long, text string")
+    links = passages._candidates(rows)[1]
+    none = passages.stash(spark.createDataFrame([], "id long, other long, start_word long, n_words long"))
+    pairs = {(r.id, r.other) for r in passages._others(rows, links, none).collect()}
+    assert {(23, j) for j in range(20, 23)} <= pairs and min(min(x) for x in pairs) >= 20
+    runs = spark.createDataFrame([(11, 4)], "id long, other long")
+    assert {(r.id, r.other) for r in passages._others(rows, links, none, runs).collect()} == pairs | {(11, 4)}
+
+
+def test_passages_lie_only_where_they_may_be():
+    """No passage of two texts of few words, many of them in runs, is in stretches that may_hold denies; and thinned matches give the same segments."""
+    rng = np.random.default_rng(23)
+    held = denied = 0
+    for _ in range(150):
+        q, p = (np.concatenate([np.repeat(rng.integers(0, 6), n) for n in rng.integers(1, 30, 20)]) for _ in range(2))
+        p[:80] = np.where(rng.random(80) < 0.1 * rng.integers(1, 4), 9, q[:80])
+        a, x = (i.ravel() for i in np.indices((len(q) - 4, len(p) - 4)))
+        same = np.all([q[a + k] == p[x + k] for k in range(5)], axis=0)
+        a, x = a[same], x[same]
+        row, five = np.zeros(len(a), np.int64), np.full(len(a), 5)
+        whole, thin = passages.segments(row, a, x, five), passages.thinned(row, a, x)
+        assert len(thin[0]) < len(a) and all(np.array_equal(*i) for i in zip(whole, passages.segments(*thin, five[: len(thin[0])]), strict=True))
+        for s in rng.integers(0, len(whole[0]), 15):
+            line = [tuple(int(c[s]) for c in whole[1:4])]
+            (b, e, y, f, equal), ((u, v, w),) = passages.align(q, p, line), line
+            may = passages.may_hold(q[max(0, u - 50) : v + 50].tolist(), p[max(0, w - 50) : w + v - u + 50].tolist())
+            good = min(e - b, f - y) >= 50 and equal >= 0.8 * max(e - b, f - y)
+            assert may or not good
+            held, denied = held + good, denied + (not may)
+    assert held > 20 and denied > 20
