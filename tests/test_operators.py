@@ -15,6 +15,7 @@ from parchment.operators import batching, clauses, diffs, outline, phrases
 from parchment.operators.fallback import kept
 from parchment.operators.keyed_table import KeyedTable
 from parchment.operators.running import running
+from parchment.sources import shared
 from parchment.sources.shared import new_path
 
 LINES = "doc long, ord long, text string, heading int, band int"
@@ -120,6 +121,29 @@ def test_gates_see_what_is_lost(spark):
     assert (part.clauses_missing, part.clauses_unreachable, part.paragraphs_missing) == (1, 2, 1)
 
 
+def _exchanges(df) -> int:
+    with shared.writing(df.sparkSession):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_trees_and_gates_of_tables_dealt_by_document_exchange_nothing(spark):
+    texts = ["1. ONE", "1.1 sub", "more words", "Section 2: Two", "(a) three", ""]
+    plain = spark.createDataFrame([(d, n, t, None, None) for d in range(40) for n, t in enumerate(texts)], LINES)
+    want = clauses.placed(clauses.clauses(outline.outline(plain), plain))
+    lines = shared.dealt(plain, "doc")
+    tree = shared.dealt(outline.outline(lines), "doc")
+    rows = shared.dealt(clauses.sized(clauses.placed(clauses.clauses(tree, lines))), "doc")
+    made = shared.dealt(clauses.chunks(rows), "doc")
+    steps = [outline.outline(lines), clauses.placed(clauses.clauses(tree, lines)), clauses.chunks(rows), clauses.gates(rows, made)]
+    assert [_exchanges(x) for x in steps] == [0] * 4
+    # Sizes without texts are those of the texts.
+    columns = ["doc", "start", "place", "kind", "chars", "clauses", "paragraphs", "region", "indexed"]
+    assert sorted(map(repr, made.select(columns).collect())) == sorted(map(repr, clauses.chunks(want).withColumn("chars", F.length("text")).select(columns).collect()))
+    assert sorted(map(repr, clauses.gates(rows, made).collect())) == sorted(map(repr, clauses.gates(want, clauses.chunks(want)).collect()))
+    shared.undealt(lines, tree, rows, made)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 # Words of lines
 
 
