@@ -358,6 +358,14 @@ def test_a_section_of_a_million_rows_is_folded_in_batches(spark):
     assert (got.b, got.p, got.l) == (99_999, 100_000, 10)
 
 
+def test_batches_of_items_dealt_by_document_exchange_nothing(spark):
+    items = shared.dealt(spark.range(200).selectExpr("id % 9 as doc", "cast(id % 4 as string) as section", "id as at", "id % 50 + 1 as cost", "3L as overhead"), "doc")
+    assert _exchanges(running(items, "doc", ["at"], ["cost"], lambda: 0, lambda s, v: (s + v, s), "before")) == 0
+    planned = batching.plan(items, 100, 5)
+    assert planned.count() == 200 and _exchanges(planned.groupBy("doc", "batch").count()) == 0  # kept by document
+    shared.undealt(items, planned)
+
+
 def test_running_folds_in_order_within_groups(spark):
     df = spark.createDataFrame([("a", 3, 1), ("a", 1, 5), ("b", 1, 7), ("a", 2, None), (None, 1, 2)], "g string, o int, v int").repartition(4)
     got = running(df, "g", ["o"], ["v"], lambda: 0, lambda s, v: (s + (v or 0), s), "before")
