@@ -205,6 +205,16 @@ def test_phrase_scan_equals_one_regular_expression(spark, part):
     assert sorted(map(tuple, got.collect())) == by_regex(docs, known)
 
 
+def test_phrase_scan_reads_documents_once_however_many_phrases(spark, tmp_path):
+    text = "zero one, two three four five six seven"
+    spark.createDataFrame([(1, text), (2, "𝒳-ray é"), (3, None)], "doc long, text string").write.parquet(f"{tmp_path}/docs")
+    words = ["one", ", two", "three four five six seven", "five six seven eight", "x-ray", "ray é", "ré", "six sev"]
+    known = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "phrase string, key int")
+    got = phrases.scan(spark.read.parquet(f"{tmp_path}/docs"), known, part_phrases=2)
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 5, 8, 0), (1, 14, 39, 2), (2, 0, 5, 4)]
+
+
 def test_phrase_scan_with_a_hundred_thousand_phrases(spark):
     words = [f"w{n}" for n in range(400)]
     known = spark.range(100_000).selectExpr("concat('w', id % 400, ' w', id div 400, ' w', id % 7) as phrase", "id as key")
