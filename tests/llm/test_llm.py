@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -677,3 +678,40 @@ def test_passages_lie_only_where_they_may_be():
             assert may or not good
             held, denied = held + good, denied + (not may)
     assert held > 20 and denied > 20
+
+
+def test_passages_documents_meet_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(24)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 20000, n)]
+    stretch = new(60)
+    rows = spark.createDataFrame([(i, " ".join(new(i) + stretch + new(60))) for i in range(20)], "id long, text string")
+    none = passages.stash(spark.createDataFrame([], "id long, other long, start_word long, n_words long"))
+    made, stash = [], passages.stash
+    monkeypatch.setattr(passages, "stash", lambda *x: made.append(len(x)) or stash(*x))
+    found = []
+    for size in (1 << 18, 1):
+        monkeypatch.setattr(passages, "ROUND", size)
+        made.clear()
+        got = passages._others(rows, passages._candidates(rows)[1], none).collect()
+        found.append((made.count(2), sorted((r.id, r.other, sorted(r.m)) for r in got)))
+    (once, want), (rounds, same) = found
+    assert once == 1 and rounds > 5 and len(want) > 100 and want == same
+
+
+def test_exchanged_rows_go_when_a_table_is_stashed(spark):
+    from parchment.llm import common
+
+    files = lambda: {f for f in map(lambda x: x.getName(), _all_files(spark)) if f.startswith("shuffle_")}
+    before = files()
+    kept = common.stash(spark.range(1000).selectExpr("id", "id % 7 as k").repartition(5, "k").groupBy("k").count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def _all_files(spark) -> list:
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [found.apply(i) for i in range(found.size())]
